@@ -18,15 +18,11 @@ from shapewright.llm.common import materialise, with_rank
 SHARDS, ROUNDS = 24, 6
 
 
-def _table(spark, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def propagate(blocks: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Move the blocks ``blocks(text, shard, n)`` towards their texts' main
     shards: rows (text, shard, n) again, the same number of documents of each
     text. ``quota`` is the number of documents that each shard may hold."""
-    shards, spark = len(quota), blocks.sparkSession
+    shards = len(quota)
     room_each = min(quota) if min(quota) else 1
     for turn in range(rounds):
         size = blocks.groupBy("text").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.pmod(F.xxhash64("text", "shard"), F.lit(1 << 30)).alias("tie"), "shard"))).alias("held"))
@@ -49,9 +45,7 @@ def propagate(blocks: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
             room = max(0, quota[t] - load[t] + leaving // 2)
             if coming:
                 share[t] = min(1.0, room / coming)
-        part = F.lit(0.0)
-        for t, x in share.items():
-            part = F.when(F.col("to") == t, float(x)).otherwise(part)
+        part = F.element_at(F.array(*[F.lit(float(share.get(t, 0.0))) for t in range(shards)]), F.col("to") + 1)
         draw = F.pmod(F.xxhash64("text", F.lit(turn), F.lit("move")), F.lit(1 << 30)) / float(1 << 30)
         big = F.col("n") > F.lit(max(1, room_each // 100))
         # small blocks move whole, by a draw; large ones by their share, to stay within the quota
@@ -72,7 +66,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     nothing; empty texts are equal texts. Null and repeated ids are rows like
     others. With fewer rows than shards some shards stay empty; an empty table
     gives an empty result."""
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha1("text").alias("text_key"), F.octet_length("text").alias("len"))
     start = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int")
@@ -99,17 +92,24 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     # linked documents come first in a shard; what is beyond its quota fills the shards that lack rows
     count = {(r.shard, r.single): r.n for r in both.groupBy("shard", "single").agg(F.count("*").alias("n")).collect()}
     have = [count.get((s, 0), 0) + count.get((s, 1), 0) for s in range(shards)]
-    arrays = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
     over = [max(0, h - q) for h, q in zip(have, quota)]
     lack = [max(0, q - h) for h, q in zip(have, quota)]
-    before = lambda xs: [sum(xs[:i]) for i in range(len(xs))]
-    pick = lambda xs, i: F.element_at(arrays(xs), i + 1)
-    at = F.col("rank") + F.when(F.col("single") == 1, pick([count.get((s, 0), 0) for s in range(shards)], F.col("shard"))).otherwise(F.lit(0))
-    ranked = ranked.withColumn("at", at)
-    extra = F.col("at") - pick(quota, F.col("shard")) + pick(before(over), F.col("shard"))  # rank among all that must go
-    ends = [a + b for a, b in zip(before(lack), lack)]
-    target = sum(((extra >= F.lit(e)).cast("int") for e in ends[:-1]), F.lit(0))
-    stay = F.col("at") < pick(quota, F.col("shard"))
-    slot = F.when(stay, F.col("at")).otherwise(extra - F.element_at(arrays(before(lack)), target + 1) + F.element_at(arrays(have), target + 1))
-    to = F.when(stay, F.col("shard")).otherwise(target).cast("int")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), to.alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+    def settle(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        q, h, linked = (np.array(x, dtype=np.int64) for x in (quota, have, [count.get((s, 0), 0) for s in range(shards)]))
+        gone, ends = np.cumsum(over) - over, np.cumsum(lack)
+        for batch in batches:
+            shard, single, rank = (batch.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5))
+            at = rank + np.where(single == 1, linked[shard], 0)
+            extra = at - q[shard] + gone[shard]  # rank among all that must go
+            stay = at < q[shard]
+            to = np.minimum(np.searchsorted(ends, extra, side="right"), shards - 1)
+            slot = np.where(stay, at, extra - (ends - lack)[to] + h[to])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(stay, shard, to).astype(np.int32)), pa.array(slot)], names=["doc_id", "size", "text_crc32", "shard", "slot"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    out = ranked.select("doc_id", "size", "text_crc32", "shard", "single", "rank").mapInArrow(settle, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
