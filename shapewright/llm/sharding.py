@@ -81,8 +81,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     lists = placed.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("to"))  # a row a shard at most
     lists = materialise(lists, "places")
     keyed = rows.withColumn("text", F.when(F.col("text_key").isNotNull(), F.concat_ws(":", "text_key", "len")))
-    # both sides exchanged: AQE splits the rows of a frequent text
-    keyed = materialise(keyed.join(lists, "text", "left").select("doc_id", "size", "text_crc32", "shard", "text", "to").withColumn("pid", F.spark_partition_id()), "keyed")
+    # both sides exchanged: AQE splits the rows of a frequent text; pid stays that of the first table, which deals it evenly
+    keyed = materialise(keyed.join(lists, "text", "left").select("doc_id", "size", "text_crc32", "shard", "text", "to", "pid"), "keyed")
     linked = with_rank(keyed.where("to is not null"), ["text"], ["doc_id"])
     fold = F.aggregate("to", F.struct(F.col("rank").cast("long").alias("left"), F.lit(-1).alias("at")), lambda s, x: F.struct(F.when(s["at"] >= 0, s["left"]).otherwise(s["left"] - x["n"]).alias("left"), F.when(s["at"] >= 0, s["at"]).when(s["left"] < x["n"], x["shard"]).otherwise(F.lit(-1)).alias("at")))
     linked = linked.withColumn("shard", fold["at"]).select("doc_id", "size", "text_crc32", "shard", F.lit(0).alias("single"))
