@@ -1,4 +1,6 @@
 """The queries of the schema-inference operators and their oracles in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from shapewright.plans import inference, modelling, words
+
+QUERIES: dict = words.QUERIES | inference.QUERIES | modelling.QUERIES
+ORACLES: dict = words.ORACLES | inference.ORACLES | modelling.ORACLES
