@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from shapewright.llm.common import materialise, with_rank
 
 SHARDS, ROUNDS = 24, 6
+#: Part of its shards that a text with very many copies may take up; others live there too.
+FILL = 0.8
+#: Part of a shard's rows that moves may fill; the draws that admit whole blocks may go a little beyond it.
+SPARE = 0.95
 
 
 def propagate(blocks: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -27,10 +31,16 @@ def propagate(blocks: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
     for turn in range(rounds):
         size = blocks.groupBy("text").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.pmod(F.xxhash64("text", "shard"), F.lit(1 << 30)).alias("tie"), "shard"))).alias("held"))
         # at most one row a shard in `held`; a text needs as many shards as its copies fill
-        need = F.greatest(F.lit(1), F.ceil(F.col("total") / room_each)).cast("int")
+        need = F.greatest(F.lit(1), F.ceil(F.col("total") / (FILL * room_each))).cast("int")
         size = size.withColumn("homes", F.transform(F.slice("held", 1, need), lambda x: x.shard)).select("text", "homes")
-        wish = blocks.join(size, "text").withColumn("to", F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(F.element_at("homes", (F.pmod(F.xxhash64("text", "shard", F.lit(turn)), F.size("homes")) + 1).cast("int"))))
-        wish = materialise(wish.select("text", "shard", "to", "n"), "wishes")
+        held = blocks.join(size, "text")
+        home, k = F.array_contains("homes", F.col("shard")), F.size("homes")
+        stay = held.where(home).select("text", "shard", F.col("shard").alias("to"), "n")
+        # what is away from home goes to the homes in equal parts
+        away = held.where(~home).select("text", "shard", "n", k.alias("k"), F.posexplode("homes").alias("i", "to"))
+        turned = F.pmod(F.col("i") + F.pmod(F.xxhash64("text", "shard", F.lit(turn)), F.col("k")), F.col("k"))
+        away = away.withColumn("n", (F.floor(F.col("n") / F.col("k")) + F.when(turned < F.col("n") % F.col("k"), 1).otherwise(0)).cast("long")).where("n > 0")
+        wish = materialise(stay.unionAll(away.select("text", "shard", "to", "n")), "wishes")
         flow = wish.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # shards x shards rows at most
         load = [0] * shards
         want = {(r.shard, r.to): r.n for r in flow if r.shard != r.to}
@@ -38,14 +48,12 @@ def propagate(blocks: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
             load[r.shard] += r.n
         if not want:
             break
-        share = {}
-        for t in range(shards):
-            coming = sum(n for (_, b), n in want.items() if b == t)
-            leaving = sum(n for (a, _), n in want.items() if a == t)
-            room = max(0, quota[t] - load[t] + leaving // 2)
-            if coming:
-                share[t] = min(1.0, room / coming)
-        part = F.element_at(F.array(*[F.lit(float(share.get(t, 0.0))) for t in range(shards)]), F.col("to") + 1)
+        coming = [sum(n for (_, b), n in want.items() if b == t) for t in range(shards)]
+        share = [1.0] * shards  # of the wishes to come that a shard can grant, with what leaves it meanwhile
+        for _ in range(100):
+            leaving = [sum(n * share[b] for (a, b), n in want.items() if a == t) for t in range(shards)]
+            share = [min(1.0, max(0.0, quota[t] - load[t] + leaving[t]) / coming[t]) if coming[t] else 0.0 for t in range(shards)]
+        part = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("to") + 1)
         draw = F.pmod(F.xxhash64("text", F.lit(turn), F.lit("move")), F.lit(1 << 30)) / float(1 << 30)
         big = F.col("n") > F.lit(max(1, room_each // 100))
         # small blocks move whole, by a draw; large ones by their share, to stay within the quota
@@ -76,7 +84,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     blocks = rows.where("text_key is not null").groupBy(key, "shard").agg(F.count("*").alias("n"))
     many = materialise(blocks.groupBy("text").agg(F.sum("n").alias("total")).where("total > 1").select("text"), "copies")
     blocks = materialise(blocks.join(many, "text"), "blocks")
-    placed = propagate(blocks, quota, rounds)
+    placed = propagate(blocks, [int(SPARE * q) for q in quota], rounds)
     # a text's copies, by rank, go to its shards in order
     lists = placed.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("to"))  # a row a shard at most
     lists = materialise(lists, "places")
