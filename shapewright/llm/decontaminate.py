@@ -46,6 +46,10 @@ def classify(raw: str) -> tuple[str, str, str, bool]:
     """(kind, kind at a sentence's start, value, whether it ends a sentence).
 
     Kinds: num, unit, name, word, or empty for punctuation alone."""
+    core = raw.rstrip(".,;:!?")
+    if core.isalpha() and core.islower():  # most words
+        kind = "num" if core in _NUMBER_SET else "unit" if core in _UNIT_SET and len(core) > 1 else "word"
+        return kind, kind, core, raw[-1] in ".!?:"
     word = _EDGE.sub("", raw)
     ends = raw[len(raw.rstrip("\"')]}*#&$%")) - 1 :][:1] in {".", "!", "?", ":"} if raw else False
     ends = ends or raw[-1:] in {".", "!", "?", ":"}
@@ -66,20 +70,26 @@ def classify(raw: str) -> tuple[str, str, str, bool]:
 _UNIT_SET, _NUMBER_SET, _NAME_SET = frozenset(UNITS), frozenset(NUMBERS), frozenset(NAMES)
 
 
+#: Codes of the placeholders (even; words have odd codes); 0 is dropped.
+SLOTS = {"num", "unit", "name"}
+PLACEHOLDER = {"": 0, "num": 0x5DEECE66D2, "unit": 0x27BB2EE687B0, "name": 0x369DEA0F31A52}
+
+
 class Vocabulary(dict):
     """word -> row of the arrays below; dropped and begun anew beyond ``most``
     words, to bound its memory (the results don't depend on it)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.rows = most, []
 
     def __missing__(self, raw: str) -> int:
         import xxhash
 
         kind, at_start, value, ends = classify(raw)
-        code = lambda k: 0 if not k else xxhash.xxh64_intdigest(value if k == "word" else f"<{k}>", 3 if k == "word" else 5) | 1
+        code = xxhash.xxh64_intdigest(value, 3) | 1 if kind == "word" else PLACEHOLDER[kind]
+        first = code if at_start == kind else xxhash.xxh64_intdigest(value, 3) | 1 if at_start == "word" else PLACEHOLDER[at_start]
         self[raw] = at = len(self.rows)
-        self.rows.append((code(kind), code(at_start), kind in ("num", "unit", "name"), at_start in ("num", "unit", "name"), ends, value))
+        self.rows.append((code, first, kind in SLOTS, at_start in SLOTS, ends, value))
         return at
 
     def template(self, text: str):
