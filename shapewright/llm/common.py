@@ -81,16 +81,6 @@ def components(edges: DataFrame) -> DataFrame:
     return out.unionAll(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
 
 
-def without(docs: DataFrame, keys: DataFrame, on: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose ``on`` isn't in ``keys``; null keys stay.
-
-    ``keys`` is written first. Up to BROADCAST_KEYS of them are broadcast, so
-    that the texts aren't shuffled; beyond that both sides are shuffled."""
-    keys = materialise(keys.select(on).where(F.col(on).isNotNull()).distinct(), "keys")
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, on, "left_anti").select(*docs.columns)
-
-
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't in ``gone(doc_id, text_key)``, where
     text_key is xxhash64(text); null ids match null ids. Broadcast up to

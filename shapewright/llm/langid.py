@@ -23,6 +23,8 @@ CELLS = 1 << 16
 EFFECTIVE = 60.0
 #: Weight of the wider prior in documents.
 SMOOTH = 10.0
+#: Prior of a language that isn't among the known ones; its trigrams are taken as evenly spread.
+UNKNOWN = 1e-3
 #: A document is rejected below this posterior, or with fewer letters.
 LEAST_POSTERIOR, LEAST_LETTERS = 0.5, 3
 
@@ -46,7 +48,8 @@ def trigrams(text: str):
 
 
 def fit(docs: DataFrame, per_language: int = FIT_DOCS):
-    """(languages, log-likelihood table of CELLS x languages) from about
+    """(languages, table of CELLS x languages) of log-likelihoods against evenly
+    spread trigrams, from about
     ``per_language`` whole documents of each declared language, chosen by the
     hashes of their ids; CELLS numbers a language come to the driver. Languages are the declared values that at
     least one in 1,000 of the documents carry, at most 64."""
@@ -86,7 +89,7 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS):
     background = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * CELLS)
     smooth = 50.0
     like = (counts + smooth * background[:, None] * 20) / (counts.sum(axis=0) + smooth * 20)
-    return langs, np.log(like).astype(np.float32)
+    return langs, (np.log(like) + math.log(CELLS)).astype(np.float32)
 
 
 def suffix_of(host) -> F.Column:
@@ -100,7 +103,8 @@ def identify(docs: DataFrame, host_col: str = "source") -> DataFrame:
 
     Null or unknown declared languages and null hosts give no evidence of their
     own (the suffix is then the empty one). A text with fewer than LEAST_LETTERS
-    letters, null and empty ones too, is rejected. Ties go to the first language
+    letters, null and empty ones too, is rejected, and so is one that evenly
+    spread trigrams explain better than any language. Ties go to the first language
     by name. Repeated rows get a row each. A table without declared languages
     has nothing to learn from: predicted is null and texts with enough letters
     are accepted. Whole texts are scored."""
@@ -161,7 +165,7 @@ def identify(docs: DataFrame, host_col: str = "source") -> DataFrame:
     logs = F.zip_with(F.zip_with("like", F.coalesce("prior", root_array), lambda a, p: a + F.log(p)), F.coalesce(said, nothing), lambda a, b: a + b)
     out = out.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     best = F.array_position("logs", F.col("top")).cast("int")
-    share = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
+    share = 1 / (F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))) + F.exp(F.lit(math.log(UNKNOWN)) - F.col("top")))
     enough = F.col("letters") >= LEAST_LETTERS
     out = out.select("doc_id", "text_key", F.when(enough, F.element_at(names, best)).alias("predicted"), F.when(enough, share).alias("posterior"), F.col("letters").alias("n_letters"))
     return out.withColumn("accepted", (F.col("n_letters") >= LEAST_LETTERS) & (F.col("posterior") >= LEAST_POSTERIOR))

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapewright.llm.common import components, materialise, without
+from shapewright.llm.common import components, materialise, without_rows
 
 SEED = 42
 BITS = 64
@@ -41,18 +41,19 @@ def fingerprint(raw: bytes | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text, as a signed long."""
+    """(doc_id, text_key, fp): the fingerprint of each whole text, as a signed
+    long, and xxhash64 of the text."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], names=["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, fp long")
 
 
 def popcount(x):
@@ -237,8 +238,9 @@ def _joined(batches, budget: int, few: int = 16):
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id,
-    the smallest doc_id reachable over links of at most ``budget`` bits.
+    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id -
+    the smallest doc_id reachable over links of at most ``budget`` bits - and
+    text_key (xxhash64 of the text).
 
     Null and empty texts have fingerprint zero and link like any other.
     Repeated rows and equal texts share a fingerprint and so a component. Null
@@ -254,37 +256,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFra
     of = materialise(joined.join(least, "component").select(F.col("fp").alias("key"), "component_id"), "of")
     # both sides are exchanged, so AQE splits the rows of a frequent fingerprint
     out = fp.join(of, fp.fp == of.key)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key")
 
 
 def keep_first(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest
-    doc_id, once if its row is repeated. Rows with null doc_id go if their
-    component has another row, and else all stay."""
+    doc_id, one row of it if there are several. Rows with a null doc_id go if
+    their component has any doc_id, and else all stay."""
     found = materialise(near_duplicates(docs, width, budget), "near")
-    gone = found.where("doc_id <> component_id")
-    out = without(docs, gone)
-    if not found.where("doc_id is null and component_id is not null").isEmpty():
-        out = out.where("doc_id is not null")
-        lost = found.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("_f")).distinct()
-        if not lost.isEmpty():
-            nulls = docs.where("doc_id is null")
-            marked = _with_fingerprint(nulls, width).join(lost, "_f", "left_semi").drop("_f")
-            out = out.unionByName(marked)
-    if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    out = without_rows(docs, found.where("doc_id <> component_id or (doc_id is null and component_id is not null)"))
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if not again.isEmpty():
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
-
-
-def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            hexed = pa.array([f"{fingerprint(t, width):016x}" for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, hexed], names=[*batch.schema.names, "_f"])
-
-    from pyspark.sql.types import StringType, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_f", StringType()))

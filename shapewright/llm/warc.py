@@ -8,6 +8,7 @@ and logs the bytes between as a quarantined gap."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from shapewright.llm.common import materialise, new_dir
 
 VERSION = b"WARC/1.1"
+LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes after which the writer begins another archive.
 ROLL = 64 << 20
@@ -56,10 +58,8 @@ def record(kind: str, page_id, url, payload: bytes, payload_digest: str, refers_
 def parse(raw: bytes, at: int = 0):
     """(header, block, end) of the record at ``at``, or None if its checks fail.
     ``header`` has lower-case names; end is after the record's two blank lines."""
-    if not raw.startswith(b"WARC/", at):
-        return None
-    stop = raw.find(b"\r\n\r\n", at)
-    if stop < 0:
+    stop = raw.find(b"\r\n\r\n", at) if raw.startswith(b"WARC/", at) else -1
+    if stop < 0 or not LINE.match(raw, at):
         return None
     head = {}
     for line in raw[at:stop].split(b"\r\n")[1:]:
@@ -164,9 +164,7 @@ def salvage(file, compressed: bool = True, step: int = READ):
 
 def _open(window: Window, at: int, step: int) -> bool:
     """Whether the uncompressed record at ``at`` may only lack bytes not yet read."""
-    import re
-
-    if not window.data.startswith(b"WARC/", at - window.start) or window.done:
+    if window.done or not b"WARC/".startswith(window.data[at - window.start : at - window.start + 5]):
         return False
     stop = window.data.find(b"\r\n\r\n", at - window.start)
     if stop < 0:
