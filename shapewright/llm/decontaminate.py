@@ -80,35 +80,43 @@ class Vocabulary(dict):
     words, to bound its memory (the results don't depend on it)."""
 
     def __init__(self, most: int = 200_000):
-        self.most, self.rows = most, []
+        self.most = most
+        self.begin()
+
+    def begin(self) -> None:
+        from array import array
+
+        self.clear()
+        # by row: code, code at a sentence's start, flags (1 placeholder, 2 one at a start, 4 ends a sentence), value
+        self.codes, self.firsts, self.flags, self.values = array("Q"), array("Q"), array("B"), []
 
     def __missing__(self, raw: str) -> int:
         import xxhash
 
         kind, at_start, value, ends = classify(raw)
-        code = xxhash.xxh64_intdigest(value, 3) | 1 if kind == "word" else PLACEHOLDER[kind]
-        first = code if at_start == kind else xxhash.xxh64_intdigest(value, 3) | 1 if at_start == "word" else PLACEHOLDER[at_start]
-        self[raw] = at = len(self.rows)
-        self.rows.append((code, first, kind in SLOTS, at_start in SLOTS, ends, value))
+        word = xxhash.xxh64_intdigest(value, 3) | 1 if "word" in (kind, at_start) else 0
+        self.codes.append(word if kind == "word" else PLACEHOLDER[kind])
+        self.firsts.append(word if at_start == "word" else PLACEHOLDER[at_start])
+        self.flags.append((kind in SLOTS) + 2 * (at_start in SLOTS) + 4 * ends)
+        self.values.append(value)
+        self[raw] = at = len(self.values) - 1
         return at
 
     def template(self, text: str):
-        """(codes, whether each is a placeholder, values) of the text's words."""
+        """(codes, whether each is a placeholder, (rows of the words, this))."""
         import numpy as np
 
         if len(self) > self.most:
-            self.clear()
-            self.rows.clear()
-        at = np.fromiter(map(self.__getitem__, text.split()), dtype=np.int64)
-        if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), []
-        used, back = np.unique(at, return_inverse=True)
-        rows = [self.rows[i] for i in used.tolist()]
-        ends = np.array([r[4] for r in rows])[back]
-        start = np.concatenate(([True], ends[:-1]))
-        pick = lambda i, kind: np.where(start, np.array([r[i + 1] for r in rows], dtype=kind)[back], np.array([r[i] for r in rows], dtype=kind)[back])
-        code, slot = pick(0, np.uint64), pick(2, bool)
+            self.begin()
+        words = text.split()
+        if not words:
+            return np.zeros(0, np.uint64), np.zeros(0, bool), ([], self)
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        flags = np.frombuffer(self.flags, dtype=np.uint8)[at]
+        start = np.concatenate(([True], (flags[:-1] & 4) > 0))
+        code = np.where(start, np.frombuffer(self.firsts, dtype=np.uint64)[at], np.frombuffer(self.codes, dtype=np.uint64)[at])
         keep = code != 0
+        slot = np.where(start, flags & 2, flags & 1) > 0
         return code[keep], slot[keep], (at[keep], self)
 
 
@@ -151,7 +159,7 @@ def _windows(table: DataFrame, id_col: str, widths, bits: bytes | None) -> DataF
                         fine &= (table[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool)
                     for p in np.flatnonzero(fine).tolist():
                         row.append(i), n.append(len(code)), width.append(w), pos.append(p), hashes.append(int(h[p]))
-                        slots.append([words.rows[a][5] for a, s in zip(at[p : p + w].tolist(), slot[p : p + w]) if s])
+                        slots.append([words.values[a] for a, s in zip(at[p : p + w].tolist(), slot[p : p + w]) if s])
             h = pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))
             index = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *(pa.array(x, pa.int32()) for x in (n, width, pos)), h, pa.array(slots, pa.list_(pa.string()))], names=["id", "text_key", "n", "width", "pos", "h", "slots"])
