@@ -91,6 +91,12 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs.doc_id.eqNullSafe(gone._d) & (F.xxhash64(docs.text) == gone._k), "left_anti")
 
 
+def each(column, step: int = 256):
+    """The values of an Arrow column, ``step`` of them in memory at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def runs(batches, key: str):
     """Regroup Arrow batches sorted by ``key`` into one table per equal key.
 

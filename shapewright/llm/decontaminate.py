@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapewright.llm.common import materialise, without_rows
+from shapewright.llm.common import each, materialise, without_rows
 
 #: Words in a window, and share of an item's words that matching windows must cover.
 WINDOW, COVER = 5, 0.8
@@ -79,7 +79,7 @@ class Vocabulary(dict):
     """word -> row of the arrays below; dropped and begun anew beyond ``most``
     words, to bound its memory (the results don't depend on it)."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
         self.begin()
 
@@ -148,7 +148,7 @@ def _windows(table: DataFrame, id_col: str, widths, bits: bytes | None) -> DataF
         table = None if bits is None else np.frombuffer(bits, dtype=np.uint8)
         for batch in batches:
             row, n, width, pos, hashes, slots = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            for i, text in enumerate(each(batch.column(2))):
                 code, slot, (at, words) = vocabulary.template(text) if text else (np.zeros(0, np.uint64), np.zeros(0, bool), ([], None))
                 if len(code) < LEAST_WORDS:
                     continue

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapewright.llm.common import materialise, without_rows
+from shapewright.llm.common import each, materialise, without_rows
 
 #: Documents of each declared language that the trigram model is fitted on, on average (the only sample taken).
 FIT_DOCS = 400
@@ -25,6 +25,8 @@ EFFECTIVE = 60.0
 SMOOTH = 10.0
 #: Prior of a language that isn't among the known ones; its trigrams are taken as evenly spread.
 UNKNOWN = 1e-3
+#: Share of trigrams in any text that may be anything: keys, names, codes.
+NOISE = 0.1
 #: A document is rejected below this posterior, or with fewer letters.
 LEAST_POSTERIOR, LEAST_LETTERS = 0.5, 3
 
@@ -89,7 +91,7 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS):
     background = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * CELLS)
     smooth = 50.0
     like = (counts + smooth * background[:, None] * 20) / (counts.sum(axis=0) + smooth * 20)
-    return langs, (np.log(like) + math.log(CELLS)).astype(np.float32)
+    return langs, np.log((1 - NOISE) * like * CELLS + NOISE).astype(np.float32)
 
 
 def suffix_of(host) -> F.Column:
@@ -117,7 +119,7 @@ def identify(docs: DataFrame, host_col: str = "source") -> DataFrame:
 
         for batch in batches:
             like, letters = np.zeros((batch.num_rows, max(1, k))), np.zeros(batch.num_rows, dtype=np.int64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(each(batch.column(1))):
                 n = 0
                 for at in range(0, len(text or ""), 1 << 20):
                     cells, own = trigrams(text[at : at + (1 << 20)])

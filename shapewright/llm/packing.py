@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapewright.llm.common import materialise, with_rank
+from shapewright.llm.common import each, materialise, with_rank
 
 CAPACITY = 1024
 #: Id after each document.
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         end = np.array([END], dtype="<u4")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(each(batch.column(1))):
                 ids = np.concatenate((encode_long(coder, text).astype("<u4", copy=False), end)) if text else end
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapewright.llm.common import components, materialise, without_rows
+from shapewright.llm.common import components, each, materialise, without_rows
 
 SEED = 42
 BITS = 64
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            texts = each(batch.column(2).cast(pa.binary()))
             fp = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], names=["doc_id", "text_key", "fp"])
 
