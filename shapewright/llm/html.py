@@ -79,7 +79,8 @@ def tokens(page: str):
 
 # --- inference ---
 
-# An expression is a list of items: ["t", token], ["r", items] (one or more times) or ["o", items].
+# An expression is a list of items: ["t", token], ["g", items] (an element with text alone, once), ["r", items] (one or
+# more times) or ["o", items].
 
 
 def stream(page: str) -> list:
@@ -104,6 +105,8 @@ def fold(items: list, widest: int = 24) -> list:
     out: list = []
     for item in items:
         out.append(item)
+        if len(out) > 2 and out[-2] == ["t", "#"] and item[0] == out[-3][0] == "t" and item[1] == "</" + out[-3][1][1:].split(" ")[0].rstrip(">") + ">":
+            out[-3:] = [["g", out[-3:]]]
         again = True
         while again:
             again = False
@@ -162,15 +165,16 @@ def align(a: list, b: list) -> list:
 def _merge(x, y):
     if x == y:
         return x
-    if x[0] == "t" or y[0] == "t":
-        return x if x[0] != "t" else y
+    for a, b in ((x, y), (y, x)):
+        if a[0] in "tg":
+            return b
     kind = "r" if "r" in (x[0], y[0]) else "o"
     return [kind, align(x[1], y[1])]
 
 
 def spell(items: list) -> str:
     """The expression as text: ( )+ repeats, ( )? is optional, # is a slot."""
-    return "".join(x[1] if x[0] == "t" else f"({spell(x[1])}){'+' if x[0] == 'r' else '?'}" for x in items)
+    return "".join(x[1] if x[0] == "t" else spell(x[1]) if x[0] == "g" else f"({spell(x[1])}){'+' if x[0] == 'r' else '?'}" for x in items)
 
 
 def _flat(items: list):
