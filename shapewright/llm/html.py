@@ -32,8 +32,8 @@ cookie cookies copyright disqus footer form header masthead menu nav navbar navi
 promo promoted promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe
 toolbar topbar widget widgets""".split()
 CONTENT_WORDS = "article articlebody content entry entrycontent maincontent mainbody post postbody postcontent story".split()
-#: Texts of a host's wrapper are folded in so many groups first, so that no task folds all forms of a host.
-GROUPS = 16
+#: Forms that are aligned in one group, on average: a host's forms are folded in rounds, so that no task folds them all.
+FORMS = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -283,12 +283,13 @@ def _host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
 
 
-def wrappers(pages: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """(host, wrapper as JSON, expression as text, pages) of ``pages(url, html)``.
+def wrappers(pages: DataFrame, most: int = FORMS) -> DataFrame:
+    """(host, form: the wrapper as JSON, n: its pages) of ``pages(url, html)``.
 
     All pages count: each page's folded stream goes into a count by (host,
-    stream), and the distinct streams of a host are aligned in ``groups``
-    groups, then these. Pages without a host share the empty one."""
+    stream), and the distinct streams of a host are aligned in groups of about
+    ``most``, what these give again, until each host has one: as many rounds as
+    the logarithm of the forms. Pages without a host share the empty one."""
 
     def streams(batches):
         import pyarrow as pa
@@ -297,9 +298,6 @@ def wrappers(pages: DataFrame, groups: int = GROUPS) -> DataFrame:
             folded = [json.dumps(stream(x or "")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded, pa.string())], names=["host", "form"])
 
-    forms = pages.select(_host(F.col("url")).alias("host"), F.col("html")).mapInArrow(streams, "host string, form string")
-    forms = forms.groupBy("host", "form").agg(F.count("*").alias("n"))
-
     def join(table):
         import pyarrow as pa
 
@@ -307,10 +305,16 @@ def wrappers(pages: DataFrame, groups: int = GROUPS) -> DataFrame:
         made = functools.reduce(align, (json.loads(f) for _, f in rows))
         return pa.table({"host": [table["host"][0].as_py()], "form": [json.dumps(made)], "n": [sum(n for n, _ in rows)]}, schema=pa.schema([("host", pa.string()), ("form", pa.string()), ("n", pa.int64())]))
 
-    out = "host string, form string, n long"
-    part = forms.withColumn("g", F.pmod(F.xxhash64("form"), F.lit(groups)))
-    part = part.groupBy("host", "g").applyInArrow(lambda t: join(t.select(["host", "form", "n"])), out)
-    return materialise(part.groupBy("host").applyInArrow(join, out), "wrappers")
+    forms = pages.select(_host(F.col("url")).alias("host"), F.col("html")).mapInArrow(streams, "host string, form string")
+    forms = materialise(forms.groupBy("host", "form").agg(F.count("*").alias("n")), "forms")
+    while True:
+        groups = forms.groupBy("host").agg(F.ceil(F.count("*") / most).alias("groups"), F.count("*").alias("forms"))
+        if groups.where("forms > 1").isEmpty():
+            return forms
+        # both sides exchanged, or the small one broadcast by its size: AQE splits a frequent host
+        part = forms.join(groups.select("host", "groups"), "host").withColumn("g", F.pmod(F.xxhash64("form"), F.col("groups")))
+        part = part.groupBy("host", "g").applyInArrow(lambda t: join(t.select(["host", "form", "n"])), "host string, form string, n long")
+        forms = materialise(part, "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
