@@ -153,6 +153,7 @@ def clustered(seed, groups=40, copies=25):
 def test_trie_finds_all_pairs():
     for budget in (0, 1, 4):
         keys = clustered(budget)
+        keys = np.sort(np.concatenate([keys, keys[:200:3], keys[:1].repeat(99)]))
         i, j = np.triu_indices(len(keys), 1)
         near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
         got = {p for a, b in simhash.trie_pairs(keys, budget) for p in zip(a.tolist(), b.tolist())}
@@ -177,6 +178,44 @@ def test_near_duplicates(spark, docs):
     assert [r.component_id for r in rows] == [rows[i].doc_id for i in label]
 
 
+def edited(rng, words, n):
+    """``words`` with ``n`` words replaced at even distances."""
+    words = list(words)
+    for k in range(n):
+        words[(k * len(words)) // n + rng.randrange(3)] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def test_similar_texts(spark):
+    rng = random.Random(3)
+    texts = []
+    for size in (60, 400, 3000):
+        for _ in range(6):
+            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            texts += [base, edited(rng, base, max(1, size // 100)), edited(rng, base, size // 4), base[::-1]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = np.array([np.frombuffer(simhash.wide_fingerprint(t.encode()), dtype="<u8") for _, t in rows])
+    label = components(np.bitwise_count(fp[:, None] ^ fp[None, :]).sum(axis=2) <= simhash.WIDE_BUDGET)
+    got = {r.doc_id: r.component_id for r in simhash.similar(table).collect()}
+    assert [got[i] for i in range(len(rows))] == label.tolist()
+    assert [got[i] for i in range(len(rows))] == [i - (i % 4 == 1) for i in range(len(rows))]
+
+
+def test_wide_blocks_keep_all_links(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (3, 64), dtype=np.uint8)
+    rows = []
+    for k in range(120):
+        bits = np.unpackbits(base[k % 3])
+        bits[rng.choice(512, 12, replace=False)] ^= 1
+        rows.append((k, bytearray(np.packbits(bits).tobytes())))
+    classes = spark.createDataFrame(rows, "node long, fp binary")
+    for group in (8, 2048):
+        found = common.components(simhash.wide_links(classes, group=group))
+        assert {r.node: r.component for r in found.collect()} == {k: k % 3 for k in range(120)}
+
+
 def test_keep_first_in_odd_tables(spark):
     table = odd(spark, ["one two three four five six", "other words stand here in this text", "ONE two three four five six"])
     kept = simhash.keep_first(table)
