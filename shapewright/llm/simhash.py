@@ -375,10 +375,10 @@ def _by_component(fp: DataFrame, classes: DataFrame, found: DataFrame) -> DataFr
 
 def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """``docs`` with one document of each component of ``found`` (by default
-    that of ``similar``): that with the smallest doc_id, one row of it if there
+    that of ``near_duplicates``; ``similar`` gives another): that with the smallest doc_id, one row of it if there
     are several. Rows with a null doc_id go if their component has any doc_id,
     and else all stay."""
-    found = materialise(similar(docs) if found is None else found.select("doc_id", "component_id", "text_key"), "near")
+    found = materialise((near_duplicates(docs) if found is None else found).select("doc_id", "component_id", "text_key"), "near")
     out = without_rows(docs, found.where("doc_id <> component_id or (doc_id is null and component_id is not null)"))
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     if not again.isEmpty():
