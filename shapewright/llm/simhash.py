@@ -199,24 +199,25 @@ def _node_pairs(big: DataFrame, choices, budget: int, bits: int = 6) -> DataFram
     return out.select("t", "k", "fp", (F.least("node", mate) * (1 << bits) + F.greatest("node", mate)).alias("unit"))
 
 
-def _links(batches, budget: int, most: int | None = None):
+def _links(batches, budget: int, most: int | None = None, sure: int | None = None):
     import numpy as np
     import pyarrow as pa
 
-    for src, dst in _joined(batches, budget, most):
+    for src, dst in _joined(batches, budget, most, sure):
         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(src)), pa.array(np.asarray(dst))], names=["src", "dst"])
 
 
-def _joined(batches, budget: int, most: int | None, few: int = 16):
+def _joined(batches, budget: int, most: int | None, sure: int | None = None, few: int = 16):
     """Links within the runs of equal ``g`` of batches (g, node, fingerprint): of
     runs of up to ``few`` keys all of a batch at once, of longer ones a forest
     each. The first 64 bits are the trie key; with ``most`` the fingerprint is a
-    wide one, of which so many bits may differ in all."""
+    wide one, of which so many bits may differ in all. With ``sure`` a forest is
+    only that of links of so many bits; all others between its trees are given."""
     import numpy as np
 
     held = []
 
-    def near(words, i, j, step: int = 1 << 18):
+    def near(words, i, j, most=most, step: int = 1 << 18):
         if most is None:
             return np.ones(len(i), dtype=bool)
         parts = [popcount(words[i[at : at + step]] ^ words[j[at : at + step]]).sum(axis=1) <= most for at in range(0, len(i), step)]
@@ -248,11 +249,16 @@ def _joined(batches, budget: int, most: int | None, few: int = 16):
         for lo, hi in zip(starts[size > few], ends[size > few]):
             order = lo + np.argsort(keys[lo:hi], kind="stable")
             forest = Forest(len(order))
-            for i, j in trie_pairs(keys[order], budget):
+            for i, j in trie_pairs(keys[order], budget if sure is None else sure):
                 apart = forest.root[i] != forest.root[j]
                 i, j = i[apart], j[apart]
-                fine = near(words, order[i], order[j])
+                fine = near(words, order[i], order[j], most if sure is None else sure)
                 forest.join(i[fine], j[fine])
+            for i, j in trie_pairs(keys[order], budget) if sure is not None else ():
+                apart = forest.root[i] != forest.root[j]
+                i, j = i[apart], j[apart]
+                fine = near(words, order[i], order[j])
+                yield nodes[order[i[fine]]], nodes[order[j[fine]]]
             at = np.flatnonzero(forest.root != np.arange(len(order)))
             if len(at):
                 yield nodes[order[forest.root[at]]], nodes[order[at]]
@@ -288,21 +294,30 @@ TABLE = 2
 WIDE_GROUP = 2048
 
 
-def wide_fingerprint(raw: bytes | None, width: int = SIMILAR_WIDTH) -> bytes:
-    """A SimHash of WIDE x 64 bits of the text's set of shingles (lower-case
-    words; fewer words than ``width``: the whole sequence; none: zeros)."""
+def shingle_set(raw: bytes | None, width: int = SIMILAR_WIDTH):
+    """The distinct hashes of the text's shingles (lower-case words; fewer words
+    than ``width``: the whole sequence; none: none)."""
     import numpy as np
     import xxhash
 
     words = raw.lower().split() if raw else []
     if not words:
-        return bytes(8 * WIDE)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     n = max(1, len(words) - width + 1)
     starts, last = np.concatenate(([0], ends[:-1] + 1))[:n].tolist(), ends[len(words) - n :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last)), dtype=np.uint64, count=n))
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last)), dtype=np.uint64, count=n))
+
+
+def wide_fingerprint(raw: bytes | None, width: int = SIMILAR_WIDTH) -> bytes:
+    """A SimHash of WIDE x 64 bits of the text's ``shingle_set`` (none: zeros)."""
+    import numpy as np
+
+    h = shingle_set(raw, width)
+    if not len(h):
+        return bytes(8 * WIDE)
     ones = np.zeros(BITS * WIDE, dtype=np.int64)
     salt = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 255 * 16):
@@ -324,7 +339,12 @@ def wide_links(classes: DataFrame, most: int = WIDE_BUDGET, group: int = WIDE_GR
     table are one subtrie, self-joined in one task. Larger subtries are dealt
     into blocks, and each pair of blocks is a task's."""
     keys = F.array(*[F.xxhash64(F.lit(t), F.substring("fp", TABLE * t + 1, TABLE)) for t in range(8 * WIDE // TABLE)])
-    dealt = classes.select("node", "fp", F.explode(keys).alias("g"))
+    return _subtrie_links(classes.select("node", "fp", F.explode(keys).alias("g")), group, TRIE_BUDGET, most)
+
+
+def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, sure: int | None = None) -> DataFrame:
+    """The links ``_joined`` finds within each ``g`` of ``dealt(node, fp, g)``;
+    that of more than ``group`` rows is dealt into blocks, a task each pair."""
     hot = dealt.groupBy("g").count().where(F.col("count") > group)
     hot = materialise(hot.select(F.col("g").alias("h"), F.ceil(F.col("count") / group).cast("int").alias("k")), "hot")
     if not hot.isEmpty():
@@ -334,7 +354,7 @@ def wide_links(classes: DataFrame, most: int = WIDE_BUDGET, group: int = WIDE_GR
         big = big.select("node", "fp", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
         dealt = dealt.join(hot, dealt.g == hot.h, "left_anti").unionByName(big)
     dealt = dealt.select("g", "node", "fp").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(lambda batches: _links(batches, TRIE_BUDGET, most), "src long, dst long")
+    return dealt.mapInArrow(lambda batches: _links(batches, budget, most, sure), "src long, dst long")
 
 
 def similar(docs: DataFrame, width: int = SIMILAR_WIDTH, most: int = WIDE_BUDGET) -> DataFrame:
@@ -345,6 +365,15 @@ def similar(docs: DataFrame, width: int = SIMILAR_WIDTH, most: int = WIDE_BUDGET
     Similarity is told by the differing bits of wide fingerprints. Texts without
     words are one class. Null and repeated ids, other columns and empty tables
     are treated as ``near_duplicates`` does."""
+    fp = _wide_fingerprints(docs, width)
+    classes = materialise(fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "classes")
+    edges = materialise(wide_links(classes.select("node", "fp"), most).distinct(), "links")
+    found = materialise(components(edges).withColumnRenamed("node", "of"), "components")
+    return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key")
+
+
+def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_key, fp, node): wide fingerprints and their hashes."""
 
     def run(batches):
         import pyarrow as pa
@@ -355,13 +384,76 @@ def similar(docs: DataFrame, width: int = SIMILAR_WIDTH, most: int = WIDE_BUDGET
 
     kind = dict(docs.dtypes)["doc_id"]
     fp = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp binary")
-    fp = materialise(fp.withColumn("node", F.xxhash64("fp")), "fingerprints")
-    classes = materialise(fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "classes")
-    edges = materialise(wide_links(classes.select("node", "fp"), most).distinct(), "links")
+    return materialise(fp.withColumn("node", F.xxhash64("fp")), "fingerprints")
+
+
+#: Candidates for the exact comparison: texts that agree in one of SAMPLES samples of SAMPLE_BITS bits and differ in at
+#: most HEAD_BUDGET of the first HEAD bytes' bits (of them TRIE_BUDGET in the trie key). A pair of similarity 0.8
+#: differs in 15.2 % of the bits; by calculation 0.3 % of such pairs aren't candidates.
+SAMPLES, SAMPLE_BITS, HEAD, HEAD_BUDGET = 64, 14, 16, 36
+#: So few differing bits of the head's 128 that a pair below 0.8 has them once in 100,000 times: chains of such links do.
+HEAD_SURE = 4
+
+
+def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) -> DataFrame:
+    """Per row of ``docs``: doc_id, component_id - the smallest doc_id reachable
+    over links of texts whose sets of ``width``-word shingles have a Jaccard
+    similarity of ``tenths`` tenths or more - and text_key (xxhash64 of the text).
+
+    Wide fingerprints give the candidates (see SAMPLES), and each candidate's
+    shingle sets are compared exactly, so that no link is below the bound. Texts
+    of equal fingerprints are one class. Null and repeated ids, other columns
+    and empty tables are treated as ``near_duplicates`` does."""
+    fp = _wide_fingerprints(docs, width)
+    classes = fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.min("text_key").alias("k"))
+    classes = materialise(classes, "classes")
+    pairs = _subtrie_links(_samples(classes), WIDE_GROUP, TRIE_BUDGET, HEAD_BUDGET, HEAD_SURE)
+    pairs = materialise(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    needed = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().join(classes.select("node", "k"), "node")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), each(batch.column(1).cast(pa.binary()))):
+                own = pa.array([shingle_set(text, width).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([k]), own], names=["k", "own"])
+
+    texts = docs.select(F.xxhash64("text").alias("k"), "text").join(needed.select("k"), "k", "left_semi").dropDuplicates(["k"])
+    sets = materialise(texts.mapInArrow(run, "k long, own array<long>").join(needed, "k").select("node", "own"), "sets")
+    left, right = (sets.select(F.col("node").alias(side), F.col("own").alias(f"{side}_set")) for side in ("src", "dst"))
+    both = F.size(F.array_intersect("src_set", "dst_set"))
+    linked = 10 * both >= tenths * (F.size("src_set") + F.size("dst_set") - both)
+    edges = materialise(pairs.join(left, "src").join(right, "dst").where(linked).select("src", "dst"), "links")
     found = materialise(components(edges).withColumnRenamed("node", "of"), "components")
     return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key")
 
 
+def _samples(classes: DataFrame) -> DataFrame:
+    """(node, fp: the head of the fingerprint, g: sample and its bits) of
+    ``classes(node, fp)``, a row for each sample."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rng = np.random.default_rng(SEED)
+        picked = np.stack([rng.choice(BITS * WIDE, SAMPLE_BITS, replace=False) for _ in range(SAMPLES)])
+        weights = 1 << np.arange(SAMPLE_BITS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                g = bits[:, picked] @ weights + (np.arange(SAMPLES) << SAMPLE_BITS)
+                index = pa.array(np.repeat(np.arange(part.num_rows), SAMPLES))
+                heads = pa.array([x.tobytes() for x in raw[:, :HEAD]], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), heads.take(index), pa.array(g.ravel())], names=["node", "fp", "g"])
+
+    return classes.select("node", "fp").mapInArrow(run, "node long, fp binary, g long")
+
+
 def _by_component(fp: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """``fp(node, ...)`` with component_id, the smallest ``first`` of the
     ``classes(node, first)`` in a node's component by ``found(of, component)``."""
@@ -375,7 +467,7 @@ def _by_component(fp: DataFrame, classes: DataFrame, found: DataFrame) -> DataFr
 
 def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """``docs`` with one document of each component of ``found`` (by default
-    that of ``near_duplicates``; ``similar`` gives another): that with the smallest doc_id, one row of it if there
+    that of ``near_duplicates``; ``near_copies`` and ``similar`` give others): that with the smallest doc_id, one row of it if there
     are several. Rows with a null doc_id go if their component has any doc_id,
     and else all stay."""
     found = materialise((near_duplicates(docs) if found is None else found).select("doc_id", "component_id", "text_key"), "near")

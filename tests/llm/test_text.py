@@ -202,6 +202,33 @@ def test_similar_texts(spark):
     assert [got[i] for i in range(len(rows))] == [i - (i % 4 == 1) for i in range(len(rows))]
 
 
+def jaccard(a, b):
+    own = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a.lower().split(), b.lower().split())]
+    return len(own[0] & own[1]) / len(own[0] | own[1])
+
+
+def test_pipeline_links_what_is_similar(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = []
+    for size in (40, 300, 1500):
+        for _ in range(8):
+            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            for share in (0.81, 0.78):  # five shingles go at each replaced word
+                other = edited(rng, base, max(1, round((size - 4) * (1 - share) / (1 + share) / 5)))
+                texts += [base, other, base[: round(size * share)]]
+    texts = [" ".join(x) for x in dict.fromkeys(map(tuple, texts))]
+    near = np.array([[jaccard(a, b) >= 0.8 for b in texts] for a in texts])
+    assert near.sum() > len(texts) + 30
+    label = components(near)
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()}
+    assert [got[i] for i in range(len(texts))] == label.tolist()
+    kept = corpus_pipeline.drop_near_copies(spark, table, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.tolist()))
+
+
 def test_wide_blocks_keep_all_links(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 256, (3, 64), dtype=np.uint8)
