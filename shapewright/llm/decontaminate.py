@@ -3,8 +3,9 @@
 Numbers, units and names become typed placeholders, so that a question with
 other numbers or names keeps its template. Windows of templates of documents
 and benchmark items are hash-joined; the windows of a document and an item on
-neighbouring diagonals are put together, and the values that fill the slots
-must map one to one (each value of the item to one value of the document)."""
+neighbouring diagonals are chained, and the values that fill the slots of a
+chain must map one to one (each value of the item to one value of the
+document)."""
 
 from __future__ import annotations
 
@@ -136,6 +137,39 @@ def windows(code, slot, width: int):
     return h, free <= width - min(LITERAL, width)
 
 
+def chained(found: list[dict], words: int) -> tuple[float, bool] | None:
+    """(coverage, whether some slot is filled otherwise) of the best chain of
+    the windows ``found`` of an item and a document, or None if none reaches
+    COVER.
+
+    A chain begins with all windows of one diagonal and takes in others by the
+    words they add; a diagonal's windows that add words count together or not at
+    all, and the slots of a chain map one to one. Windows that add none (the
+    item's own repeats, shifted) are off it."""
+    diagonals: dict = {}
+    for x in found:
+        diagonals.setdefault(x["pos"] - x["at"], []).append((frozenset(range(x["at"], x["at"] + x["width"])), list(zip(x["theirs"], x["slots"]))))
+    best = None
+    for base in diagonals:
+        covered: set = set()
+        pairs: set = set()
+        rest = dict(diagonals)
+        at = base
+        while at is not None:
+            new = [(own, p) for own, p in rest.pop(at) if own - covered]
+            more = pairs.union(*(p for _, p in new))
+            if len({i for i, _ in more}) == len({d for _, d in more}) == len(more):
+                pairs, covered = more, covered.union(*(own for own, _ in new))
+            elif at == base:
+                break
+            gains = {d: len(frozenset().union(*(own for own, _ in x)) - covered) for d, x in rest.items()}
+            at = max((d for d in gains if gains[d]), key=lambda d: (gains[d], -abs(d - base), d), default=None)
+        if len(covered) >= COVER * words:
+            own = (len(covered) / words, any(i != d for i, d in pairs))
+            best = own if best is None else (max(best[0], own[0]), best[1] and own[1])
+    return best
+
+
 def _windows(table: DataFrame, id_col: str, widths, bits: bytes | None) -> DataFrame:
     """(id, text_key, n, width, pos, h, slots) of all windows of ``widths``; with
     ``bits`` only those whose hash is in the table of benchmark windows."""
@@ -191,16 +225,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     diagonal = F.col("pos") - F.col("at")
     band = F.explode(F.array(F.floor(diagonal / DRIFT) * 2, F.floor((diagonal + DRIFT / 2) / DRIFT) * 2 + 1))
     pairs = pairs.withColumn("band", band)
-    met = pairs.groupBy("doc_id", "text_key", "item_id", "words", "band").agg(
-        F.collect_set(F.struct("at", "width")).alias("at"),  # the item's windows at most
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("theirs").alias("i"), F.col("slots").alias("d"))))).alias("pairs"),
-    )
-    places = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["width"] - 1)))))
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
-    met = met.withColumn("coverage", places / F.col("words"))
-    met = met.where((F.col("coverage") >= COVER) & (one("i") == F.size("pairs")) & (one("d") == F.size("pairs")))
-    other = F.exists("pairs", lambda x: x["i"] != x["d"])
-    return met.groupBy("doc_id", "text_key", "item_id").agg(F.max("coverage").alias("coverage"), F.min(other).alias("reparameterised")).select("doc_id", "item_id", "coverage", "reparameterised", "text_key")
+    # of a band at most DRIFT windows for each place in the item
+    met = pairs.groupBy("doc_id", "text_key", "item_id", "words", "band").agg(F.collect_set(F.struct("at", "width", "pos", "theirs", "slots")).alias("found"))
+    places = F.size(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["at"], x["at"] + x["width"] - 1)))))
+    met = met.where(places / F.col("words") >= COVER).select("doc_id", "text_key", "item_id", "words", "found")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            best = [chained(x, n) for n, x in zip(batch.column(3).to_pylist(), each(batch.column(4)))]
+            index = pa.array([i for i, x in enumerate(best) if x], pa.int64())
+            coverage, other = (pa.array([x[k] for x in best if x], kind) for k, kind in enumerate((pa.float64(), pa.bool_())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(index) for i in range(3)), coverage, other], names=["doc_id", "text_key", "item_id", "coverage", "other"])
+
+    met = met.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, item_id {dict(benchmark.dtypes)['item_id']}, coverage double, other boolean")
+    return met.groupBy("doc_id", "text_key", "item_id").agg(F.max("coverage").alias("coverage"), F.min("other").alias("reparameterised")).select("doc_id", "item_id", "coverage", "reparameterised", "text_key")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

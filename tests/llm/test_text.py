@@ -323,6 +323,18 @@ def test_questions_and_their_variants(spark):
     assert {(r.doc_id, r.item_id, r.reparameterised) for r in got} == {(0, 1, False), (None, 1, False), (1, 1, True), (4, 4, False), (5, 4, False), (6, 4, False)}
 
 
+def test_repeated_clauses_are_found(spark):
+    item = "Tom has 3 red apples and Anna has 5 red apples and Bob has 7 red apples so how many red apples are there"
+    copies = [("go " * n + "there. ") * (n > 0) + item for n in range(17)]
+    other = item.replace("3", "30").replace("5", "50").replace("7", "70")
+    wrong = item.replace("3", "8").replace("5", "8").replace("7", "9")
+    added = item.replace("and Bob", "and then Bob")
+    table = spark.createDataFrame(list(enumerate([*copies, other, wrong, added])), "doc_id long, text string")
+    got = {r.doc_id: (r.coverage, r.reparameterised) for r in decontaminate.matches(table, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {i: got.get(i) for i in range(18)} == {i: (1.0, i == 17) for i in range(18)}
+    assert 18 not in got and got[19][0] >= 0.8 and not got[19][1]
+
+
 def test_clean_documents_stay(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda t: " ".join(t.lower().split())
