@@ -20,7 +20,7 @@ from shapewright.llm.common import each, materialise, without_rows
 WINDOW, COVER = 5, 0.8
 #: Words in an item at least: shorter ones are no evidence and match nothing.
 LEAST_WORDS = 3
-#: Words of a window that aren't placeholders at least.
+#: Words of a window that aren't placeholders at least; a window with fewer is matched by the values of all its words.
 LITERAL = 2
 #: Diagonals (place in the document less place in the item) put together: words may be added or lost.
 DRIFT = 16
@@ -90,12 +90,14 @@ class Vocabulary(dict):
         self.clear()
         # by row: code, code at a sentence's start, flags (1 placeholder, 2 one at a start, 4 ends a sentence), value
         self.codes, self.firsts, self.flags, self.values = array("Q"), array("Q"), array("B"), []
+        self.exact = array("Q")  # code of the value
 
     def __missing__(self, raw: str) -> int:
         import xxhash
 
         kind, at_start, value, ends = classify(raw)
-        word = xxhash.xxh64_intdigest(value, 3) | 1 if "word" in (kind, at_start) else 0
+        self.exact.append(xxhash.xxh64_intdigest(value, 3) | 1)
+        word = self.exact[-1] if "word" in (kind, at_start) else 0
         self.codes.append(word if kind == "word" else PLACEHOLDER[kind])
         self.firsts.append(word if at_start == "word" else PLACEHOLDER[at_start])
         self.flags.append((kind in SLOTS) + 2 * (at_start in SLOTS) + 4 * ends)
@@ -121,20 +123,29 @@ class Vocabulary(dict):
         return code[keep], slot[keep], (at[keep], self)
 
 
-def windows(code, slot, width: int):
-    """Hashes of the windows of ``width`` words, and which have enough literal words."""
+def windows(code, slot, width: int, exact):
+    """Hashes of the windows of ``width`` words: of their templates or, where
+    these have too few literal words, of their values (``exact``)."""
     import numpy as np
 
     n = len(code) - width + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.full(n, width, dtype=np.uint64)
+        return np.zeros(0, np.uint64)
     free = np.zeros(n, dtype=np.int64)
     for k in range(width):
-        h = (h ^ code[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
         free += slot[k : k + n]
-    return h, free <= width - min(LITERAL, width)
+
+    def mixed(codes, where):
+        h = np.full(len(where), width, dtype=np.uint64)
+        for k in range(width):
+            h = (h ^ codes[where + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    h = mixed(code, np.arange(n))
+    few = np.flatnonzero(free > width - min(LITERAL, width))
+    h[few] = mixed(exact, few)
+    return h
 
 
 def chained(found: list[dict], words: int) -> tuple[float, bool] | None:
@@ -187,10 +198,11 @@ def _windows(table: DataFrame, id_col: str, widths, bits: bytes | None) -> DataF
                 if len(code) < LEAST_WORDS:
                     continue
                 for w in widths if bits is not None else [min(WINDOW, len(code))]:
-                    h, fine = windows(code, slot, w)
+                    h = windows(code, slot, w, np.frombuffer(words.exact, dtype=np.uint64)[at])
+                    fine = np.ones(len(h), dtype=bool)
                     if table is not None:
                         key = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-                        fine &= (table[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool)
+                        fine = (table[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool)
                     for p in np.flatnonzero(fine).tolist():
                         row.append(i), n.append(len(code)), width.append(w), pos.append(p), hashes.append(int(h[p]))
                         slots.append([words.values[a] for a, s in zip(at[p : p + w].tolist(), slot[p : p + w]) if s])

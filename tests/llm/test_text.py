@@ -335,6 +335,15 @@ def test_repeated_clauses_are_found(spark):
     assert 18 not in got and got[19][0] >= 0.8 and not got[19][1]
 
 
+def test_items_of_numbers_are_found(spark):
+    items = [(1, "What is the next number in the sequence 2, 4, 8, 16, 32, 64, 128"), (2, "Compute 12 + 7 - 5 * 3"), (3, "Add 1, 2 and 3"), (4, "2 4 6")]
+    texts = [f"Some words go before it. {t}. More words." for _, t in items]
+    texts += ["Some words. What is the next number in the sequence 3, 9, 27, 81, 243, 729, 2187", "Compute 12 + 7 - 6 * 3", "Compute 1 + 2 - 3 * 4"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.reparameterised) for r in decontaminate.matches(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i + 1): (1.0, False) for i in range(4)}
+
+
 def test_clean_documents_stay(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda t: " ".join(t.lower().split())
