@@ -1,8 +1,10 @@
 """URL filters, WARC, HTML extraction, embeddings, sharding, queries, pipeline."""
 
 import collections
+import functools
 import gzip
 import io
+import re
 import zlib
 
 import duckdb
@@ -119,6 +121,23 @@ PAGES = {
     "<article><style>p{}</style><p>a</p><svg><text>z</text></svg><noscript>n</noscript>": "a",
 }
 
+#: Pages that are read alone: names and words decide.
+ALONE = {
+    '<article><p>a</p><span class="advert">BUY</span>': "a",
+    '<article><div class="article-header"><h1>Head</h1></div><p>a</p>': "Head a",
+    '<div class="x"><div class="article-header"><h1>Head</h1></div><p>a</p></div>': "Head a",
+    '<article><div class="form-data">f</div><p>a <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p><object>o</object></article>': "f a x+1 o",
+    "<datalist><option value=a></datalist><article><p>q</p></article>": "q",
+    '<button>x<article><p>q</p>un<span class="hl">bro</span>ken</article>': "q unbroken",
+    "<noscript>n<article><p>q</p></article>": "q",
+    "<nav><ul><li>x<article><p>q</p></article>": "q",
+    "<select><option>a<option>b</select><p>c</p>": "c",
+    "<table><tr><td>a<td>b<tr><td>c</table>": "a b c",
+    "<article><title>t": "",
+    "<p>a<br>b<hr>c<img>d</p></i></p>e": "a b cd e",
+    "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>x": "deep x",
+}
+
 
 def test_main_text(spark):
     rows = [(i, f"http://h{i % 3}/x" if i else None, t) for i, t in enumerate(PAGES)]
@@ -127,6 +146,82 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], PAGE)).collect() == []
 
 
+def test_pages_alone():
+    assert {p: html.extract(p) for p in ALONE} == ALONE
+
+
+def words(rng, n):
+    return " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+
+
+def test_the_wrapper_decides(spark):
+    """Class names in no list: what is constant over a host's pages, repeated
+    links and what lies beside the container with the varying text goes. Without
+    inference it stays."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for i in range(9):
+        head, data, formula, paragraphs = words(rng, 5), words(rng, 6), words(rng, 2), [words(rng, 30) for _ in range(rng.integers(1, 6))]
+        says = "".join(f"<div class=msg><b>{words(rng, 1)}</b><p>{words(rng, 8)}</p></div>" for _ in range(rng.integers(0, 5)))
+        links = "".join(f"<li><a href={k}>{words(rng, 1)}</a>" for k in range(4))
+        rows.append((i, f"http://h.org/{i}", f'''<html><body><div class="zz"><ul class="tabs"><li>Home<li>News<li>Shop</ul></div><ul class="yy">{links}</ul><div class="qq">
+            <div class="article-header"><h1>{head}</h1></div><ul class="tabs"><li>One<li>Two</ul><div class="form-data">{data}</div><p>x <math>{formula}</math> y <span class="advert">BUY {words(rng, 2)}</span></p>
+            {"".join(f"<p>{p}</p>" for p in paragraphs)}</div><div class="discussion">{says}</div><div class="bottom">All rights and such of us</div></body></html>'''))
+        want[i] = " ".join([head, data, f"x {formula} y", *paragraphs])
+    table = spark.createDataFrame([*rows, rows[0], (None, *rows[1][1:])], PAGE).withColumn("form", F.lit("x")).withColumn("roles", F.lit("x")).withColumn("h", F.lit("x"))
+    got = html.main_text(table).collect()
+    assert len(got) == 11 and {r.page_id: r.text for r in got} == want | {None: want[1]}
+    plain = {r.page_id: r.text for r in html.main_text(table, infer=False).collect()}
+    assert all(plain[i] != want[i] and "Home News Shop" in plain[i] and "BUY" not in plain[i] for i in want)
+
+
+def test_headline_beside_the_article_and_copies(spark):
+    rng = np.random.default_rng(9)
+    page = lambda head, text, note="n": f'<body><ul class="m"><li>A<li>B</ul><h1>{head}</h1><div class="tt"><p>{text}</p><p>{text}</p></div><div class="note">{note}</div>'
+    rows = [(i, "http://h.org/", page(words(rng, 4), words(rng, 40))) for i in range(6)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i].split()[:2] == t.split("<h1>")[1].split()[:2] and "A B" not in got[i] and len(got[i].split()) == 84 for i, _, t in rows)
+    # one article under many notes is no furniture
+    same = [(i, "http://h.org/", page("head", "the same words " * 9, f"note {i}")) for i in range(6)]
+    assert all("the same words" in r.text for r in html.main_text(spark.createDataFrame(same, PAGE)).collect())
+
+
+def test_pages_match_their_wrapper():
+    """No text is lost, whatever the pages; most of it has a slot, and the
+    pages of one template have all of it in the same slots."""
+    rng = np.random.default_rng(10)
+
+    def element(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{words(rng, 2)}</p>"
+        name = ("div", "section", "ul", 'div class="a"', 'div class="b"')[rng.integers(5)]
+        inner = "".join(f"<li>{words(rng, 1)}" for _ in range(rng.integers(1, 4))) if name == "ul" else "".join(element(depth - 1) for _ in range(rng.integers(1, 5)))
+        return f"<{name}>{inner}</{name.split()[0]}>"
+
+    pages = ["".join(element(3) for _ in range(rng.integers(1, 6))) for _ in range(60)]
+    wrapper = html.Wrapper(functools.reduce(html.align, map(html.stream, pages)))
+    held = total = 0
+    for page in pages:
+        text = re.sub("<[^>]*>", " ", page).split()
+        assert sorted(html.extract(page, wrapper, "." * len(wrapper.keys)).split()) == sorted(text)
+        held, total = held + sum(len(t.split()) for t, _, _ in html.slot_values(page, wrapper).values()), total + len(text)
+    assert held >= 0.8 * total
+    pages = [f"<div>{'<p>a</p>' * rng.integers(1, 4)}</div><div>{'<b>b</b>' * rng.integers(0, 2)}x</div>{'<h2>h</h2><p>c</p>' * rng.integers(0, 4)}<div><ul>{'<li>d' * rng.integers(1, 3)}</ul></div>" for _ in range(40)]
+    wrapper = html.Wrapper(functools.reduce(html.align, map(html.stream, pages)))
+    seen = collections.defaultdict(set)
+    for page in pages:
+        for i, (text, _, _) in html.slot_values(page, wrapper).items():
+            seen[i] |= set(text.replace("bx", "x").split())
+    assert all(len(x) == 1 for x in seen.values()) and {x for s in seen.values() for x in s} == set("axhcd")
+
+
+def test_very_long_pages():
+    parts = [f"<h{i % 3 + 1}>t</h{i % 3 + 1}><p class='c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'>w {i}</p>" for i in range(20_000)]
+    page = "<article>" + "".join(parts) + "</article>"
+    assert html.extract(page) == " ".join(f"t w {i}" for i in range(20_000))
+    assert len(html.spell(html.stream(page))) < 100_000
+
+
 def test_articles_of_the_table(spark, pages):
     import html as entities
     import re
