@@ -296,6 +296,67 @@ def test_rejections(spark, docs):
     assert {r.predicted for r in langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {None}
 
 
+def test_rare_languages(spark, docs):
+    """No share decides which languages are known: neither with a model of their
+    own nor without one are texts of a rare language another's."""
+    german = docs.where("lang = 'de'").orderBy(F.desc("n_chars")).limit(1).withColumn("doc_id", F.lit(9000).cast("long"))
+    others = docs.where("lang <> 'de'")
+    many = others
+    for k in range(1, 8):
+        many = many.unionByName(others.withColumn("doc_id", F.col("doc_id") + 10_000 * k))
+    more = [(9001, "Straßenverkehr überführt möglichst großzügig " * 3, "de-AT", None, 0), (9002, "これは日本語の文章です。とても短いですが、日本語です。", "ja", "x.jp", 0), (9003, "the and of that with this from which " * 3, "tlh", None, 0)]
+    table = many.unionByName(german).unionByName(spark.createDataFrame(more, DOC))
+    rows = {r.doc_id: r for r in langid.identify(table).where("doc_id between 9000 and 9003").collect()}
+    assert {i: (rows[i].predicted, rows[i].accepted) for i in (9000, 9001, 9002)} == {9000: ("de", True), 9001: ("de", True), 9002: ("ja", True)}
+    assert rows[9003].accepted
+    short = others.unionByName(spark.createDataFrame([(9004, german.first().text[:600], "DE", None, 0)], DOC))
+    row = langid.identify(short).where("doc_id = 9004").first()
+    assert (row.predicted, row.accepted) == ("de", True)
+
+
+def test_posteriors_by_brute_force(spark, docs):
+    """All evidence again in numpy, one document at a time."""
+    strange = [(9001, "12 34 !!", "en", "a.net", 0), (9002, "qxzj vkwq zxqv jjqz wvxk qzzx kxqj " * 9, None, None, 0), (None, "un texte sans hôte déclaré", "Xhosa", None, 0), (9004, "words of the", "en_GB", "new.zz", 0)]
+    table = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang"))).unionByName(spark.createDataFrame(strange, DOC))
+    langs, model = langid.fit(table)
+    k = len(langs)
+    rows = [(r, *langid.trigrams(r.text or "")) for r in table.collect()]
+    like = [model[c].sum(axis=0, dtype=float) * min(1, langid.EFFECTIVE / max(1, len(c))) for _, c, _ in rows]
+    tag = lambda x: None if x is None else x.lower().split("_")[0]
+    counts = lambda rows: np.bincount([int(v[:k].argmax()) for v in rows], minlength=k) if rows else np.zeros(k)
+    fine = [i for i, (_, _, n) in enumerate(rows) if n >= langid.LEAST_LETTERS]
+    host = [r.source or "" for r, _, _ in rows]
+    corpus = counts([like[i] for i in fine])
+    root = (corpus + 1) / (corpus.sum() + k)
+    heard = np.ones((k, k + 1))
+    for i in fine:
+        if (lang := tag(rows[i][0].lang)) is not None:
+            heard[int(like[i][:k].argmax()), langs.index(lang) if lang in langs else k] += 1
+    heard = np.log(heard / heard.sum(axis=1, keepdims=True))
+    got = {(r.doc_id, r.text_key): r for r in langid.identify(table).collect()}
+    keys = [(r.doc_id, r.k) for r in table.select("doc_id", F.xxhash64("text").alias("k")).collect()]
+    assert len(got) == len(rows)
+    for i, (r, _, letters) in enumerate(rows):
+        have = got[keys[i]]
+        assert have.n_letters == letters
+        if letters < langid.LEAST_LETTERS:
+            assert (have.predicted, have.posterior, have.accepted) == (None, None, False)
+            continue
+        prior = root
+        for rest in ([j for j in fine if host[j].split(".")[-1].lower() == host[i].split(".")[-1].lower()], [j for j in fine if host[j] == host[i]]):
+            n = counts([like[j] for j in rest])
+            prior = (n + langid.SMOOTH * prior) / (n.sum() + langid.SMOOTH)
+        lang = tag(r.lang)
+        p = np.exp(like[i][:k] + np.log(prior) + (0 if lang is None else heard[:, langs.index(lang) if lang in langs else k]))
+        other = lang is not None and lang not in langs
+        own = (np.exp(like[i][k]) + 1) / 2 * langid.UNKNOWN if other else 0
+        no = langid.UNKNOWN * (langid.STRAY if other else 1)
+        total = p.sum() + own + no
+        assert have.predicted == (lang if own > p.max() else langs[int(p.argmax())])
+        assert abs(have.posterior - max(p.max(), own) / total) < 1e-6
+        assert have.accepted == ((p.sum() + own) / total >= 0.5)
+
+
 def test_hosts_speak_for_unclear_texts(spark, docs):
     unclear = [(9000 + i, "zzz", None, "de.net" if i % 2 else "en.org", 0) for i in range(2)]
     host = [(8000 + i, r.text, r.lang, f"{r.lang}.{'net' if r.lang == 'de' else 'org'}", 0) for i, r in enumerate(docs.where("lang in ('de', 'en')").collect())]
