@@ -2,12 +2,15 @@
 
 Documents longer than ``CHUNK`` characters are encoded in overlapping chunks.
 Token offsets of two neighbouring chunks are compared in their overlap and the
-encodings are spliced at a token boundary that both have and that is proven
-stable: the character before it isn't white space and the one after it is a
-plain space or line feed. No branch of the pre-tokeniser's pattern, and no
-special token, spans such a place, so the text on either side is tokenised
-alike whatever surrounds it. Where an overlap has no such boundary it is
-doubled, up to the whole document."""
+encodings are spliced at a token boundary that both have and that the coder
+proves stable: the text on either side is tokenised alike whatever surrounds it.
+Where an overlap has no such boundary it is doubled, up to the whole document;
+a coder without a proof encodes whole texts.
+
+The place between a character that isn't white space and a plain space (or line
+feed) is stable if nothing spans it: no branch of the pre-tokeniser's pattern
+and no special token (``.json`` files with one of the two patterns below), or
+no piece of the vocabulary (``.model`` files that keep texts as they are)."""
 
 from __future__ import annotations
 
@@ -17,19 +20,26 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapewright.llm.common import each
+
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 
 
+def before_space(text: str, at: int) -> bool:
+    return 0 < at < len(text) and text[at] in " \n" and not text[at - 1].isspace()
+
+
 class HuggingFace:
     """Any ``.json`` file, by the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spec: dict | None = None):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.stable = before_space if spec is not None and splits_at_spaces(spec) else None
 
     def ids(self, text: str):
         import numpy as np
@@ -50,12 +60,14 @@ class ByteLevel:
     four times as fast). Special strings in a text become their ids, as is that
     library's default."""
 
+    stable = staticmethod(before_space)
+
     def __init__(self, path: str, spec: dict):
         import numpy as np
         import regex
         import tiktoken
 
-        self.fallback = functools.partial(HuggingFace, path)
+        self.library = functools.lru_cache(1)(functools.partial(HuggingFace, path))
         specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {unspell(k): v for k, v in spec["model"]["vocab"].items() if k not in specials}
         self.model = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -77,7 +89,7 @@ class ByteLevel:
         except BaseException as e:  # a Rust panic on very long unbroken pieces
             if type(e).__name__ != "PanicException":
                 raise
-            return self.fallback().ids(text)
+            return self.library().ids(text)
 
     def ids(self, text: str):
         import numpy as np
@@ -100,8 +112,26 @@ class ByteLevel:
         return ids, char[np.cumsum(self.width[ids])]
 
 
-#: The pre-tokeniser of byte-level BPE files (fixed value).
+# The pre-tokenisers' patterns of byte-level files and of files with word ends.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether nothing in a ``.json`` file spans a place before a space: neither
+    its normaliser (characters and runs of white space alone), its pattern, nor
+    its added tokens."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = normal.get("normalizers", [normal] if normal else [])
+    plain = all(x.get("type") in ("NFC", "Lowercase") or (x.get("type"), x.get("pattern"), x.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for x in steps)
+    added = any(any(c.isspace() for c in x["content"]) or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec["added_tokens"])
+    parts = pre.get("pretokenizers", [pre])
+    bytes_ = parts[-1].get("type") == "ByteLevel" and not parts[-1].get("add_prefix_space")
+    if len(parts) == 1:
+        split = parts[0].get("use_regex", True)
+    else:
+        split = len(parts) == 2 and not parts[1].get("use_regex", True) and (parts[0].get("type"), parts[0].get("pattern"), parts[0].get("behavior"), parts[0].get("invert")) == ("Split", {"Regex": WORDS}, "Removed", True)
+    return bool(plain and not added and bytes_ and split and not spec.get("post_processor") and spec["model"].get("type") == "BPE")
 
 
 @functools.lru_cache(1)
@@ -128,12 +158,52 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        normal = next((dict(_fields(v)) for f, v in _fields(self.model.serialized_model_proto()) if f == 3), {})
+        kept = normal.get(1) == b"identity" and not normal.get(2) and not normal.get(4, 1)  # name, table, whether spaces are removed
+        inner = any("\u2581" in self.model.id_to_piece(i).lstrip("\u2581") for i in range(self.model.get_piece_size()))
+        self.stable = self._before_space if kept and not inner else None
+
+    @staticmethod
+    def _before_space(text: str, at: int) -> bool:
+        return 0 < at < len(text) and text[at] == " " and not text[at - 1].isspace() and text[at - 1] != "\u2581"
 
     def ids(self, text: str):
         import numpy as np
 
         return np.array(self.model.encode(text), dtype=np.uint32)
 
+    def offsets(self, text: str):
+        """ids, and the character after each token's last one."""
+        import numpy as np
+
+        got = self.model.encode(text, return_type="offset_mapping")
+        return np.array(got["ids"], dtype=np.uint32), np.array([e for _, e in got["offsets"]], dtype=np.int64)
+
+
+def _fields(raw: bytes):
+    """(number, value) of the fields of a protobuf message."""
+    at = 0
+
+    def number():
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        n = {1: 8, 5: 4}.get(key & 7) or number()
+        yield key >> 3, raw[at : at + n]
+        at += n
+
 
 @functools.lru_cache(4)
 def load(path: str):
@@ -157,53 +227,48 @@ def load(path: str):
         order = [model["vocab"].get(x) for x in merged]
         if None not in order and order == sorted(order):
             return ByteLevel(path, spec)
-    return HuggingFace(path)
-
-
-def stable(text: str, at: int) -> bool:
-    return 0 < at < len(text) and text[at] in " \n" and not text[at - 1].isspace()
+    return HuggingFace(path, spec)
 
 
 def encode_long(coder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP):
     """The ids of a text of any length; the same as ``coder.ids(text)``."""
     import numpy as np
 
-    if len(text) <= chunk or not hasattr(coder, "offsets"):
+    if len(text) <= chunk or coder.stable is None:
         return coder.ids(text)
     out, done, lap = [], 0, overlap  # done: the text before it is spliced
-    ids, ends = coder.offsets(text[:chunk])
     start, end = 0, min(chunk, len(text))  # of the chunk in ids, ends
+    ids, ends = coder.offsets(text[:end])
     while end < len(text):
         lap = min(max(lap, 1), end - done)
-        nxt_start, nxt_end = end - lap, min(len(text), end - lap + chunk + lap)
+        nxt_start, nxt_end = end - lap, min(len(text), end + chunk)
         nids, nends = coder.offsets(text[nxt_start:nxt_end])
-        left = ends + start
+        left = ends[ends > 0] + start
         left = left[(left > nxt_start) & (left < end)]
         right = nends[nends > 0] + nxt_start
         common = np.intersect1d(left, right)
-        cut = next((int(p) for p in common[::-1] if p > done and stable(text, int(p))), None)
+        cut = next((int(p) for p in common[::-1] if p > done and coder.stable(text, int(p))), None)
         if cut is None:
-            if nxt_start <= done:  # even the whole chunk has no stable boundary: encode on from the last splice
-                start, end = done, min(len(text), done + 2 * (end - done))
+            if nxt_start <= done:  # even the whole chunk has no stable boundary: make it longer
+                end = min(len(text), done + 2 * (end - done))
                 ids, ends = coder.offsets(text[start:end])
                 lap = overlap
             else:
                 lap *= 2
             continue
-        out.append(_between(ids, ends + start, done, cut))
+        out.append(_between(ids, ends, done - start, cut - start))
         ids, ends, start, end, done, lap = nids, nends, nxt_start, nxt_end, cut, overlap
-    out.append(_between(ids, np.where(ends < 0, -1, ends + start), done, len(text)))
+    out.append(_between(ids, ends, done - start, None))
     return np.concatenate(out)
 
 
-def _between(ids, ends, lo: int, hi: int):
-    """The ids after the token that ends at ``lo``, up to the one that ends at ``hi``."""
+def _between(ids, ends, lo: int, hi: int | None):
+    """The ids after the last token that ends at ``lo`` (0: from the first on), up
+    to the last one that ends at ``hi`` (None: to the end)."""
     import numpy as np
 
-    at = np.flatnonzero(ends == lo)
-    first = int(at[-1]) + 1 if len(at) and lo > 0 else 0
-    last = int(np.flatnonzero(ends == hi)[-1]) + 1 if len(ids) else 0
-    return ids[first:last]
+    first = int(np.flatnonzero(ends == lo)[-1]) + 1 if lo > 0 else 0
+    return ids[first:] if hi is None else ids[first : int(np.flatnonzero(ends == hi)[-1]) + 1]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,9 +283,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
         coder = load(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [len(encode_long(coder, t)) if t else 0 for t in texts]
-            size = [len(t.encode()) if t else 0 for t in texts]
+            n, size = [], []
+            for text in each(batch.column(1)):
+                n.append(len(encode_long(coder, text)) if text else 0)
+                size.append(len(text.encode()) if text else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
