@@ -14,13 +14,15 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapewright.llm.common import materialise, new_dir
+from shapewright.llm.common import each, materialise, new_dir
 
 VERSION = b"WARC/1.1"
 LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes after which the writer begins another archive.
 ROLL = 64 << 20
+#: Tasks that read archives, for each core, at most; a task reads the archives it is dealt one by one.
+TASKS_A_CORE = 16
 #: Bytes read from an archive at a time.
 READ = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -202,7 +204,8 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0, roll: int = R
     Null html is an empty payload; null ids and urls leave their header out.
     Pages with equal payloads of at least ``at_least`` bytes refer to the one
     with the smallest id (a null id comes last); rows that repeat that id are
-    responses too. Each task attempt writes files of its own, and the manifest
+    responses too. Other columns, whatever their names, are not read. A payload
+    is held whole while its record is written, and nothing else of its size. Each task attempt writes files of its own, and the manifest
     lists those of the attempts that counted: a lost executor's are ignored."""
     rows = revisits(pages, at_least)
 
@@ -215,7 +218,7 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0, roll: int = R
         store.create_dir(folder, recursive=True)
         out, name, size, n, made = None, "", 0, 0, []
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for page_id, url, html, refers_to in zip(*(each(batch.column(i)) for i in range(4))):
                 payload = (html or "").encode()
                 raw = record("response" if refers_to is None else "revisit", page_id, url, payload, digest(payload), refers_to)
                 if out is None:
@@ -270,13 +273,17 @@ def read_archives(manifest: DataFrame, path: str, compressed: bool = True) -> Da
                 if rows:
                     yield flush(rows)
 
-    # an archive a partition, as far as there are cores for it
-    return manifest.select("archive").repartition("archive").mapInArrow(run, fields)
+    # a number of our own, which adaptive execution keeps; dealt out in turn, so the archives are even over the tasks
+    tasks = min(manifest.count(), TASKS_A_CORE * manifest.sparkSession.sparkContext.defaultParallelism)
+    return manifest.select("archive").repartition(max(1, tasks)).mapInArrow(run, fields)
 
 
 def round_trip(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back: per
-    page page_id, payload_bytes, payload_digest, record_type and refers_to."""
+    page page_id, payload_bytes, payload_digest, record_type and refers_to.
+
+    Null html and null or repeated ids are treated as ``write_archives`` says;
+    an empty table gives an empty result."""
     path = new_dir(pages.sparkSession, "warc")
     back = read_archives(write_archives(pages, path, at_least), path)
     return back.where("kind <> 'gap'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")

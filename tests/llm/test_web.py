@@ -96,6 +96,18 @@ def test_round_trip(spark, pages):
     assert {r.page_id: bytes(r.block).decode() for r in back.collect()} == {r.page_id: r.html for r in pages.collect()}
 
 
+def test_archives_are_read_in_parallel(spark, pages):
+    """As many tasks as archives, up to the cores at least; all have their share."""
+    for parts in (1, 3, 12):
+        path = new_dir(spark, "test")
+        manifest = warc.write_archives(pages.repartition(parts), path, roll=1 << 30)
+        archives = manifest.count()
+        back = warc.read_archives(manifest, path)
+        held = back.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("archive").alias("n")).collect()
+        assert len(held) >= min(archives, spark.sparkContext.defaultParallelism) and max(r.n for r in held) <= 2
+        assert back.count() == pages.count()
+
+
 # --- HTML ---
 
 
