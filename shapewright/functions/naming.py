@@ -223,13 +223,31 @@ def ordinalize(number) -> Column:
 
 
 def register(spark: SparkSession, rules: Naming = DEFAULT) -> None:
-    """The functions for SQL, as temporary SQL functions (no Python involved)."""
-    one = {"pluralize": rules.pluralize, "singularize": rules.singularize, "capitalize": capitalize, "upper_camel_case": upper_camel_case, "lower_camel_case": lower_camel_case, "underscore": underscore, "humanize": humanize, "title_case": title_case}
+    """The functions for SQL, as temporary SQL functions (no Python involved):
+    pluralize, singularize, is_uncountable, capitalize, underscore, humanize,
+    title_case, upper_camel_case, lower_camel_case and ordinalize."""
     quoted = lambda x: x.replace("\\", "\\\\").replace("'", "\\'")
     clean = "regexp_replace(w, r'^\\s+|\\s+$', '')"
-    del one["pluralize"], one["singularize"]
+    words = ", ".join(f"'{quoted(w)}'" for w in sorted(rules.uncountables)) or "null"
+
+    def define(name: str, body: str, takes: str = "w STRING", gives: str = "STRING") -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({takes}) RETURNS {gives} RETURN {body}")
+
+    def raised(text: str, pattern: str, keep: str) -> str:
+        """``upper_marked`` as SQL text; the parts are found once."""
+        parts = f"split(regexp_replace({text}, r'{pattern}', concat(char(1), '{keep}')), char(1), -1)"
+        return f"array_join(transform({parts}, (x, i) -> if(i = 0, x, concat(upper(substr(x, 1, 1)), substr(x, 2)))), '')"
+
     for name, own in (("pluralize", rules.plurals), ("singularize", rules.singulars)):
-        words = ", ".join(f"'{quoted(w)}'" for w in sorted(rules.uncountables)) or "null"
         cases = " ".join(f"WHEN regexp_like({clean}, '(?i){quoted(r)}') THEN regexp_replace({clean}, '(?i){quoted(r)}', '{quoted(s)}')" for r, s in own)
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(w STRING) RETURNS STRING RETURN CASE WHEN {clean} = '' OR lower({clean}) IN ({words}) THEN {clean} {cases} ELSE {clean} END")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION capitalize(w STRING) RETURNS STRING RETURN concat(upper(substr({clean}, 1, 1)), lower(substr({clean}, 2)))")
+        define(name, f"CASE WHEN {clean} = '' OR lower({clean}) IN ({words}) THEN {clean} {cases} ELSE {clean} END")
+    define("is_uncountable", f"coalesce(lower({clean}) IN ({words}), false)", gives="BOOLEAN")
+    define("capitalize", f"concat(upper(substr({clean}, 1, 1)), lower(substr({clean}, 2)))")
+    define("underscore", f"lower(replace(regexp_replace(regexp_replace({clean}, '([A-Z]+)([A-Z][a-z])', '$1_$2'), r'([a-z\\d])([A-Z])', '$1_$2'), '-', '_'))")
+    spaced = f"regexp_replace(regexp_replace({clean}, '_id$', ''), '_+', ' ')"
+    define("humanize", f"capitalize({spaced})")
+    define("title_case", raised(f"capitalize({spaced})", r"\b([a-z])", "$1"))
+    upper = raised(clean, "(^|_)(.)", "$2")
+    define("upper_camel_case", upper)
+    define("lower_camel_case", f"CASE WHEN length({clean}) < 2 THEN {clean} ELSE concat(lower(substr({clean}, 1, 1)), substr({upper}, 2)) END")
+    define("ordinalize", "concat(n, CASE WHEN n BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END)", "n BIGINT")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapewright.operators import signature
+from shapewright.operators import graph, signature
 
 
 def oid_seconds(oid) -> Column:
@@ -32,25 +32,23 @@ def triples_of_typed(docs: DataFrame, collection: str, seconds: Column | None =
 
 
 def triples_of_json(docs: DataFrame) -> DataFrame:
-    """Triples of ``docs(collection, doc)``, doc a VARIANT or JSON text, dated by ``_id.$oid``."""
+    """Triples of ``docs(collection, doc)``, doc a VARIANT or JSON text, dated by
+    ``_id.$oid``. Values are erased and equal texts counted first, all in the
+    JVM; Python sees the texts that still differ. The second count has a row for
+    each of these at most."""
     text = F.to_json("doc") if dict(docs.dtypes)["doc"] == "variant" else F.col("doc")
-    dated = docs.withColumn("ts", oid_seconds(F.get_json_object(text, "$['_id']['$oid']")))
-    return skeleton_counts(signature.signatures(dated), F.col("ts"))
+    ts = oid_seconds(F.get_json_object(text, "$['_id']['$oid']"))
+    some = docs.select("collection", signature.erased(text).alias("doc"), ts.alias("ts")).groupBy("collection", "doc")
+    counted = some.agg(F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    signed = signature.signatures(counted).where("signature is not null")
+    return signed.groupBy("collection", "signature").agg(F.sum("n").alias("count"), F.min("low").alias("first_ts"), F.max("high").alias("last_ts"))
 
 
 # --- property graphs: nodes(id, label, props) and edges(src, dst, type, props), props MAP<STRING,STRING> of type names ---
 
 
-def graph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with their ends' labels: (src, type, src_label, dst_label, props).
-    Both joins are on node ids, which are spread evenly; AQE splits a frequent one."""
-    ends = nodes.select("id", "label")
-    out = edges.join(ends.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
-    return out.join(ends.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src")
-
-
-def _sorted_map(props) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.map_entries(props)), lambda x: F.concat(x.key, F.lit(":"), x.value)), ",")
+def _joined(properties: Column) -> Column:
+    return F.array_join(F.transform(properties, lambda x: F.concat(x["name"], F.lit(":"), x["type"])), ",")
 
 
 def graph_entity_variations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,15 +56,16 @@ def graph_entity_variations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Relationships are a set per node, made before nodes are joined, so that a
     node with many edges is one row; nodes without edges have the empty set."""
-    rels = graph_edges(nodes, edges).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("->", "type", "dst_label"))), ",").alias("relationships"))
-    shaped = nodes.select(F.col("id").alias("src"), F.col("label").alias("entity"), _sorted_map(F.col("props")).alias("properties"))
+    rels = graph.labelled(nodes, edges).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("->", "type", "dst_label"))), ",").alias("relationships"))
+    shaped = nodes.select(F.col("id").alias("src"), F.col("label").alias("entity"), _joined(graph.entries(F.col("props"))).alias("properties"))
     joined = shaped.join(rels, "src", "left")
     return joined.groupBy("entity", "properties", F.coalesce("relationships", F.lit("")).alias("relationships")).agg(F.count("*").alias("count"))
 
 
 def graph_relationships(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per (relationship type, property shape, source and target label): the
-    number of distinct source nodes and the number of edges."""
-    pairs = graph_edges(nodes, edges).withColumn("properties", _sorted_map(F.col("props")))
-    one = pairs.groupBy("type", "properties", "src_label", "dst_label", "src").agg(F.count("*").alias("n"))  # no distinct aggregate: two plain ones
-    return one.groupBy("type", "properties", "src_label", "dst_label").agg(F.count("*").alias("count"), F.sum("n").alias("n_edges"))
+    number of distinct source nodes and the number of edges. Edges are counted
+    by source before their sources' labels are joined."""
+    sources = nodes.select(F.col("id").alias("src"), F.col("label").alias("src_label"))
+    one = graph.labelled(nodes, edges).join(sources, "src")
+    return one.groupBy("type", _joined(F.col("properties")).alias("properties"), "src_label", "dst_label").agg(F.count("*").alias("count"), F.sum("n").alias("n_edges"))

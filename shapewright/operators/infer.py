@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapewright.functions import naming
-from shapewright.operators import signature
-from shapewright.tables import cut
+from shapewright.operators import signature, small
+from shapewright.tables import KEPT, cut
 
 # Words that make an embedded entity an alias of another one.
 HINTS = "has with set list setof listof array arrayof collection collectionof".split()
@@ -106,19 +106,21 @@ def aliases(entities: DataFrame, hints=HINTS) -> DataFrame:
     return found.groupBy("alias").agg(F.min_by("target", F.struct("target_ord", "hint_ord")).alias("entity"))
 
 
+def renamed_tree(x, mapping: dict[str, str]):
+    """A signature's tree with entities renamed."""
+    if isinstance(x, dict) and "f" in x:
+        return {"e": mapping.get(x["e"], x["e"]), "r": x["r"], "f": [[k, renamed_tree(v, mapping)] for k, v in x["f"]]}
+    if isinstance(x, dict):
+        return {"a": [renamed_tree(v, mapping) for v in x["a"]]}
+    return x
+
+
 def renamed(nodes: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """``nodes`` with entities renamed, in their signatures too (a row per alias
     comes to the driver, never a row per document)."""
     if not mapping:
         return nodes
 
-    def again(x):
-        if isinstance(x, dict) and "f" in x:
-            return {"e": mapping.get(x["e"], x["e"]), "r": x["r"], "f": [[k, again(v)] for k, v in x["f"]]}
-        if isinstance(x, dict):
-            return {"a": [again(v) for v in x["a"]]}
-        return x
-
     def run(batches):
         import pyarrow as pa
 
@@ -126,7 +128,7 @@ def renamed(nodes: DataFrame, mapping: dict[str, str]) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("sig") if at is None else at
             made = [json.loads(s) for s in batch.column(at).to_pylist()]
-            made = [again(x) for x in made]
+            made = [renamed_tree(x, mapping) for x in made]
             batch = batch.set_column(at, "sig", pa.array([signature.dump(x) for x in made], pa.string()))
             yield batch.set_column(batch.schema.get_field_index("entity"), "entity", pa.array([x["e"] for x in made], pa.string()))
 
@@ -144,17 +146,8 @@ def fields(variations: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for entity, sig in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for pos, (name, value) in enumerate(json.loads(sig)["f"]):
-                    many = isinstance(value, dict) and "a" in value
-                    items = value["a"] if many else [value]
-                    flat = []  # an array within an array stands for its own elements
-                    while items:
-                        x, *items = items
-                        if isinstance(x, dict) and "a" in x:
-                            items = [*x["a"], *items]
-                        else:
-                            flat.append(x)
-                    rows.append(dict(entity=entity, sig=sig, pos=pos, name=name, is_array=many, prims=[x for x in flat if isinstance(x, str)], targets=[dict(entity=x["e"], sig=signature.dump(x)) for x in flat if isinstance(x, dict)]))
+                for f in signature.fields_of(sig):
+                    rows.append(f | dict(entity=entity, sig=sig, targets=[dict(entity=e, sig=t) for e, t in f["targets"]]))
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(names))
 
     return variations.select("entity", "sig").mapInArrow(run, "entity string, sig string, pos int, name string, is_array boolean, prims array<string>, targets array<struct<entity:string,sig:string>>")
@@ -201,7 +194,7 @@ def propagate(variations: DataFrame, inner: DataFrame, mode: str = "first") -> D
 # --- merging: an ordered fold over the few variations of one entity ---
 
 
-def _loose(a, b) -> bool:
+def loose(a, b) -> bool:
     """Whether two signatures may be one variation: entity names don't count, and
     an empty array agrees with any homogeneous one."""
     if isinstance(a, str) or isinstance(b, str):
@@ -209,24 +202,24 @@ def _loose(a, b) -> bool:
     if ("f" in a) != ("f" in b):
         return False
     if "f" in a:
-        return len(a["f"]) == len(b["f"]) and all(x[0] == y[0] and _loose(x[1], y[1]) for x, y in zip(a["f"], b["f"]))
+        return len(a["f"]) == len(b["f"]) and all(x[0] == y[0] and loose(x[1], y[1]) for x, y in zip(a["f"], b["f"]))
     one = len(a["a"]) <= 1, len(b["a"]) <= 1
     if one[0] != one[1]:
         return False
     if one[0]:
         return not a["a"] or not b["a"] or a["a"][0] == b["a"][0]
-    return len(a["a"]) == len(b["a"]) and all(_loose(x, y) for x, y in zip(a["a"], b["a"]))
+    return len(a["a"]) == len(b["a"]) and all(loose(x, y) for x, y in zip(a["a"], b["a"]))
 
 
-def _filled(a, b):
+def filled(a, b):
     """``b`` with its empty arrays filled from ``a``."""
     if isinstance(b, str):
         return b
     if "f" in b:
-        return b | {"f": [[y[0], _filled(x[1], y[1])] for x, y in zip(a["f"], b["f"])]}
+        return b | {"f": [[y[0], filled(x[1], y[1])] for x, y in zip(a["f"], b["f"])]}
     if len(b["a"]) <= 1:
         return b if b["a"] else {"a": a["a"]}
-    return {"a": [_filled(x, y) for x, y in zip(a["a"], b["a"])]}
+    return {"a": [filled(x, y) for x, y in zip(a["a"], b["a"])]}
 
 
 def merge(variations: DataFrame) -> DataFrame:
@@ -238,34 +231,28 @@ def merge(variations: DataFrame) -> DataFrame:
     def fold(table):
         import pandas as pd
 
-        def combine(m, o):
-            n, first, last = m
-            return n + o[0], o[1] if first == 0 or o[1] < first else first, o[2] if last == 0 or o[2] > last else last
-
-        rows = table.sort_values("place")
-        now = [[json.loads(r.sig), r.is_root, r.depth, r.place, (r.count_, r.first_ts, r.last_ts), [r.sig]] for r in rows.itertuples()]
-        again = True
-        while again:
-            again = False
-            for i, a in enumerate(now):
-                for j, b in enumerate(now):
-                    if i != j and _loose(a[0], b[0]):
-                        b[0], b[4], b[5] = _filled(a[0], b[0]), combine(b[4], a[4]), b[5] + a[5]
-                        del now[i]
-                        again = True
-                        break
-                if again:
-                    break
-        entity = rows.entity.iloc[0]
-        return pd.DataFrame([dict(entity=entity, sig=signature.dump(s), is_root=r, depth=d, place=p, count=m[0], first_ts=m[1], last_ts=m[2], was=w) for s, r, d, p, m, w in now])
+        rows = [dict(entity=r.entity, sig=r.sig, is_root=r.is_root, depth=r.depth, place=r.place, meta=(r.count_, r.first_ts, r.last_ts)) for r in table.itertuples()]
+        return pd.DataFrame([row | dict(zip(("count", "first_ts", "last_ts"), row["meta"])) for row in small.merged(rows)])[list(names)]
 
+    names = "entity sig is_root depth place count first_ts last_ts was".split()
     rows = variations.select("entity", "sig", "is_root", "depth", F.format_string("%020d.%010d", "at.ord", "at.post").alias("place"), F.col("count").alias("count_"), "first_ts", "last_ts")
     return rows.groupBy("entity").applyInPandas(fold, "entity string, sig string, is_root boolean, depth int, place string, count long, first_ts long, last_ts long, was array<string>")
 
 
-def infer(triples: DataFrame, mode: str = "first", join_aliases: bool = True, merging: bool = True) -> DataFrame:
+VARIATIONS = "entity string, sig string, is_root boolean, depth int, place string, was array<string>, count long, first_ts long, last_ts long"
+
+
+def infer(triples: DataFrame, mode: str = "first", join_aliases: bool = True, merging: bool = True, kept: int = KEPT) -> DataFrame:
     """Variations of ``triples(ord, schema, count, first_ts, last_ts)``: entity,
-    sig, is_root, depth, place, count, first_ts, last_ts and was."""
+    sig, is_root, depth, place, count, first_ts, last_ts and was. Up to ``kept``
+    triples are worked on by the driver (``small``), more by Spark. Raw rows,
+    with counts and times as JSON text, are checked and converted first."""
+    if "schema" in triples.columns and dict(triples.dtypes)["count"] == "string":
+        triples = read_triples(triples)
+    few = triples.limit(kept + 1).toArrow() if kept else None
+    if few is not None and few.num_rows <= kept:
+        rows = small.variations(few.to_pylist(), mode, join_aliases, merging)
+        return triples.sparkSession.createDataFrame(rows, VARIATIONS)
     nodes = cut(objects(triples))  # a row per object of a distinct structure
     inner = cut(inner_entities(nodes))
     if join_aliases:

@@ -1,10 +1,11 @@
 """Model building: variations to the tables of a logical model.
 
-Tables: entity_types(entity_id, name, root); variations(entity, variation_id,
-count, first_ts, last_ts, sig); features(entity, variation_id, pos, kind, name,
-data_type, lower, upper, optional, targets, refs_to, attribute). Keys and
-references are unnamed and follow their attribute, whose name is in
-``attribute``. Types are text: String, PList<Number>, PList<>, PTuple<...>."""
+Tables (columns in TYPES, VARIATIONS, FEATURES): entity types, their structural
+variations, and these variations' features. Keys and references of documents are
+unnamed and follow their attribute, whose name is in ``attribute``; references of
+a graph have the relationship type's name and the variations of it that feature
+them in ``featured_by``. Types are text: String, PList<Number>, PList<>,
+PTuple<...>. A graph's model has tables of relationship types as well."""
 
 from __future__ import annotations
 
@@ -14,14 +15,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapewright.functions import naming
-from shapewright.operators import infer, signature
-from shapewright.tables import cut
+from shapewright.operators import infer, signature, small
+from shapewright.tables import KEPT, cut
 
 # What may stand beside an entity's name in a reference's name, and a word that rules a reference out.
 AFFIXES = "id ptr ref ids refs has".split()
 UNLIKELY = "count"
 
 
+TYPES = "entity_id int, name string, root boolean"
+VARIATIONS = "entity string, variation_id int, count long, first_ts long, last_ts long, sig string"
+FEATURES = """entity string, variation_id int, pos int, kind string, name string, data_type string, lower int, upper int, optional boolean,
+targets array<struct<entity:string,variation_id:int>>, refs_to string, attribute string,
+featured_by array<struct<relationship:string,variation_id:int>>, opposite string"""
+RELATIONSHIP_TYPES = "name string"
+RELATIONSHIP_VARIATIONS = "owner string, variation_id int, count long, first_ts long, last_ts long"
+RELATIONSHIP_FEATURES = "owner string, variation_id int, pos int, name string, data_type string, optional boolean"
+
+
 @dataclass
 class Model:
     """A model as tables; relationship tables are those of a graph."""
@@ -32,6 +43,7 @@ class Model:
     features: DataFrame
     relationship_types: DataFrame | None = None
     relationship_variations: DataFrame | None = None
+    relationship_features: DataFrame | None = None
 
 
 def entity_types(variations: DataFrame) -> DataFrame:
@@ -83,12 +95,12 @@ def data_type(prims, is_array) -> Column:
     return F.when(is_array, many).otherwise(F.element_at(named, 1))
 
 
-def optional_flags(features: DataFrame, key: Column) -> DataFrame:
+def optional_flags(features: DataFrame, key: Column, variations: DataFrame) -> DataFrame:
     """``features(entity, variation_id, ...)`` with ``optional``: its key isn't in
-    every variation of its entity."""
+    every one of its entity's ``variations(entity, variation_id)``."""
     keyed = features.withColumn("_key", key)
     n = keyed.groupBy("entity", "_key").agg(F.countDistinct("variation_id").alias("_n"))
-    total = features.groupBy("entity").agg(F.max("variation_id").alias("_total"))
+    total = variations.groupBy("entity").agg(F.max("variation_id").alias("_total"))
     return keyed.join(n, ["entity", "_key"]).join(total, "entity").withColumn("optional", F.col("_n") < F.col("_total")).drop("_key", "_n", "_total")
 
 
@@ -100,8 +112,15 @@ def tagged_optional(components: DataFrame) -> DataFrame:
     return n.join(total, "entity").where("total > 1 and n <> total").select("entity", "name", "sig")
 
 
-def build(variations: DataFrame, name: str = "schema", sort: bool = True, rules: naming.Naming = naming.DEFAULT) -> Model:
-    """The model of inferred variations (``infer.infer``)."""
+def build(variations: DataFrame, name: str = "schema", sort: bool = True, rules: naming.Naming = naming.DEFAULT, kept: int = KEPT, tag: bool = True) -> Model:
+    """The model of inferred variations (``infer.infer``): of up to ``kept`` by the
+    driver (``small``), of more by Spark. Without ``tag`` nothing is optional."""
+    few = variations.limit(kept + 1).toArrow() if kept else None
+    if few is not None and few.num_rows <= kept:
+        made = small.tables(few.to_pylist(), sort, rules, AFFIXES, UNLIKELY)
+        for f in made[2]:
+            f["optional"] &= tag
+        return Model(name, *(variations.sparkSession.createDataFrame(rows, kind) for rows, kind in zip(made, (TYPES, VARIATIONS, FEATURES))))
     entities = cut(entity_types(variations))  # all tables here are of the schema's size
     parts = cut(infer.fields(variations))
     n = parts.groupBy("entity", "sig").agg(F.count("*").alias("n_features"))
@@ -129,21 +148,23 @@ def build(variations: DataFrame, name: str = "schema", sort: bool = True, rules:
     made = made.withColumn("pos", at).drop("i")
     structural = F.col("kind").isin("Attribute", "Aggregate")
     shape = F.coalesce(F.concat_ws("|", "data_type", "lower", "upper", F.array_join(F.array_sort(F.transform("targets", lambda x: F.lower(x.entity))), ",")), F.lit(""))
-    flagged = optional_flags(made, F.concat_ws("|", "kind", "name", shape))
-    flagged = flagged.withColumn("optional", F.when(structural, F.col("optional")).otherwise(F.lit(False)))
+    flagged = optional_flags(made, F.concat_ws("|", "kind", "name", shape), listed)
+    flagged = flagged.withColumn("optional", F.when(structural & F.lit(tag), F.col("optional")).otherwise(F.lit(False)))
+    unused = F.lit(None).cast("array<struct<relationship:string,variation_id:int>>").alias("featured_by"), F.lit(None).cast("string").alias("opposite")
     columns = ["entity", "variation_id", "pos", "kind", "name", "data_type", "lower", "upper", "optional", "targets", "refs_to", "attribute"]
-    return Model(name, entities, listed.select("entity", "variation_id", "count", "first_ts", "last_ts", "sig"), cut(flagged.select(*columns)))
+    return Model(name, entities, listed.select("entity", "variation_id", "count", "first_ts", "last_ts", "sig"), cut(flagged.select(*columns, *unused)))
 
 
-def infer_model(triples: DataFrame, name: str = "schema", profile: str = "faithful", **options) -> Model:
+def infer_model(triples: DataFrame, name: str = "schema", profile: str = "faithful", kept: int = KEPT, tag: bool = True, **options) -> Model:
     """Triples to a model in one call. ``faithful`` keeps the metadata of the
     first of equal variations; ``corrected`` conserves counts."""
     mode = {"faithful": "first", "corrected": "sum"}[profile]
-    return build(infer.infer(triples, mode, **options), name)
+    return build(infer.infer(triples, mode, kept=kept, **options), name, kept=kept, tag=tag)
 
 
 def conformance(docs: DataFrame, variations: DataFrame) -> DataFrame:
-    """One row (unmatched): documents of ``docs(signature)`` whose structure no
-    root variation has."""
+    """One row (unmatched): documents whose structure no root variation has, of
+    ``docs(signature)``, or of counted structures ``docs(signature, count)``."""
     known = variations.where("is_root").select(F.explode("was").alias("signature")).distinct()
-    return docs.join(known, "signature", "left_anti").agg(F.count("*").alias("unmatched"))
+    n = F.coalesce(F.sum("count"), F.lit(0)) if "count" in docs.columns else F.count("*")
+    return docs.join(known, "signature", "left_anti").agg(n.alias("unmatched"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shapewright.operators import extract, infer, signature
 from shapewright.sources import documents
 from shapewright.sources.documents import table
+from shapewright.tables import cut
 
 
 def skeleton_counts_orders(spark, sf_dir):
@@ -121,8 +122,7 @@ def inner_entities(spark, sf_dir):
 
 def inner_count_propagation(spark, sf_dir):
     """Inner variations with the metadata of their containers (counts conserved)."""
-    nodes = infer.objects(_order_triples(spark, sf_dir))
-    found = infer.propagate(infer.collapse(nodes, "sum"), infer.inner_entities(nodes), "sum")
+    found = infer.infer(_order_triples(spark, sf_dir), "sum", join_aliases=False, merging=False)
     return _variations(found.where("not is_root"))
 
 
@@ -143,32 +143,35 @@ def metadata_fold_m1(spark, sf_dir):
     return folded.select("o_custkey", "m.count", "m.first_ts", "m.last_ts")
 
 
-def _supplier_variations(spark, sf_dir, partial: bool) -> DataFrame:
-    """A variation per supplier and nation, with an empty or filled array."""
+def _supplier_variations(spark, sf_dir, *arrays) -> DataFrame:
+    """A structure per supplier, its nation the entity, with arrays of texts that
+    are empty where a condition holds, merged."""
     s = table(spark, sf_dir, "supplier")
-    tags = F.when(F.col("s_suppkey") % 2 == 0, "[]").otherwise('["s"]') if partial else F.lit('["s"]')
-    schema = F.concat(F.lit('{"_type":"s'), F.col("s_nationkey").cast("string"), F.lit('","tags":'), tags, F.lit("}"))
+    fields = [F.concat(F.lit(f',"t{i}":'), F.when(empty, "[]").otherwise('["s"]')) for i, empty in enumerate(arrays)]
+    schema = F.concat(F.lit('{"_type":"s'), F.col("s_nationkey").cast("string"), F.lit('"'), *fields, F.lit("}"))
     made = s.select(F.col("s_suppkey").alias("ord"), schema.alias("schema"), F.lit(1).cast("long").alias("count"), F.col("s_suppkey").alias("first_ts"), F.col("s_suppkey").alias("last_ts"))
     return infer.merge(infer.collapse(infer.objects(made), "sum"))
 
 
 def merge_empty_arrays(spark, sf_dir):
     """Empty and filled arrays are one variation."""
-    return _supplier_variations(spark, sf_dir, True).select("entity", "count", "first_ts", "last_ts", F.size("was").alias("n_merged"))
+    return _supplier_variations(spark, sf_dir, F.col("s_suppkey") % 2 == 0).select("entity", "count", "first_ts", "last_ts", F.size("was").alias("n_merged"))
 
 
 def merge_loose(spark, sf_dir):
-    return _supplier_variations(spark, sf_dir, False).select("entity", "count", F.size("was").alias("n_merged"))
+    """Two arrays, either of them empty or both: still one variation, whose
+    arrays are filled from each other."""
+    found = _supplier_variations(spark, sf_dir, F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 3 == 0)
+    return found.select("entity", "count", F.size("was").alias("n_merged"), F.contains("sig", F.lit("[]")).alias("still_empty"))
 
 
 def conformance_check(spark, sf_dir):
     """Order documents whose structure no inferred root variation has."""
     from shapewright.operators import model
 
-    docs = documents.orders_docs(spark, sf_dir)
-    made = docs.select(signature.typed(docs.schema, "Orders").alias("signature"))
-    triples = extract.skeleton_counts(made.withColumn("collection", F.lit("orders"))).withColumn("ord", F.monotonically_increasing_id())
-    return model.conformance(made, infer.infer(triples, "sum", merging=False))
+    counted = cut(extract.triples_of_typed(documents.orders_docs(spark, sf_dir), "orders"))
+    triples = counted.withColumn("ord", F.monotonically_increasing_id())
+    return model.conformance(counted, infer.infer(triples, "sum", merging=False))
 
 
 def graph_entity_variations(spark, sf_dir):
@@ -239,7 +242,7 @@ f AS (SELECT o_custkey, r, 1::BIGINT AS count, ts AS first_ts, ts AS last_ts FRO
   FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.r = f.r + 1)
 SELECT o_custkey, max(count) AS count, arg_max(first_ts, r) AS first_ts, arg_max(last_ts, r) AS last_ts FROM f GROUP BY 1""",
     "merge_empty_arrays": "SELECT 'S' || s_nationkey AS entity, count(*) AS count, min(s_suppkey) AS first_ts, max(s_suppkey) AS last_ts, count(DISTINCT s_suppkey % 2)::INT AS n_merged FROM supplier GROUP BY s_nationkey",
-    "merge_loose": "SELECT 'S' || s_nationkey AS entity, count(*) AS count, 1::INT AS n_merged FROM supplier GROUP BY s_nationkey",
+    "merge_loose": "SELECT 'S' || s_nationkey AS entity, count(*) AS count, count(DISTINCT (s_suppkey % 2 = 0, s_suppkey % 3 = 0))::INT AS n_merged, bool_and(s_suppkey % 2 = 0) OR bool_and(s_suppkey % 3 = 0) AS still_empty FROM supplier GROUP BY s_nationkey",
     "conformance_check": "SELECT 0::BIGINT AS unmatched",
     "graph_entity_variations": f"""
 SELECT entity, properties, 'LOCATED_IN->Nation' || CASE WHEN o IS NULL THEN '' ELSE ',PLACED->Order' END AS relationships, count(*) AS count
