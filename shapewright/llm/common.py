@@ -4,38 +4,23 @@ ranks, connected components and removal of rows by key."""
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys in a broadcast set at most (8 bytes each in the smallest form); beyond, a shuffled join.
-BROADCAST_KEYS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+from shapewright.tables import new_dir, stored
 
-    Only where that is unset (tests) a folder of our own is made and set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="shapewright-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where if "://" in where or where.startswith("file:") else f"file://{where}"
+__all__ = ["components", "each", "materialise", "new_dir", "runs", "with_rank", "without_rows"]
 
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/shapewright/{name}-{uuid.uuid4().hex}"
+#: Keys in a broadcast set at most (8 bytes each in the smallest form); beyond, a shuffled join.
+BROADCAST_KEYS = 1_000_000
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: what is read later survives the loss of any executor."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def with_rank(df: DataFrame, by: list[str], order: list[str], rank: str = "rank") -> DataFrame:

@@ -74,7 +74,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shapewright.llm.simhash import near_duplicates
 
-    return near_duplicates(_read(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(_read(spark, sf_dir, "documents")).drop("text_key", "component")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame
@@ -136,8 +137,9 @@ class Forest:
 #: The key bits are cut into BLOCKS; two keys that differ in at most `budget`
 #: bits agree in at least BLOCKS - budget of them.
 BLOCKS = 6
-#: Distinct fingerprints that share a block key, in one task.
+#: Distinct fingerprints that share a block key, in one task, and trie bits that larger groups are cut by at a time.
 GROUP = 4096
+CUT = 4
 
 
 def _split(blocks: int) -> list[tuple[int, int]]:
@@ -154,8 +156,9 @@ def links(fps: DataFrame, budget: int = 4, blocks: int = BLOCKS, group: int = GR
     Two linked fingerprints agree in blocks - budget whole blocks. For each
     choice of so many blocks the fingerprints are dealt out by the bits in
     them; those that share these bits are one subtrie, self-joined in one task.
-    Subtries of more than ``group`` fingerprints are cut by their next six
-    trie bits into node pairs within the budget, a task each."""
+    Subtries of more than ``group`` fingerprints are cut by their next CUT trie
+    bits into node pairs within what is left of the budget, a task each, and
+    those that are still too large again, until all fit or no bits are left."""
     choices = list(itertools.combinations(_split(blocks), blocks - budget))
 
     def packed(cut):
@@ -166,37 +169,43 @@ def links(fps: DataFrame, budget: int = 4, blocks: int = BLOCKS, group: int = GR
 
     keys = F.array(*[F.struct(F.lit(n).alias("t"), packed(cut).alias("k")) for n, cut in enumerate(choices)])
     dealt = fps.select("fp", F.explode(keys).alias("at")).select("at.t", "at.k", "fp")
-    hot = materialise(dealt.groupBy("t", "k").count().where(F.col("count") > group).select("t", "k"), "hot")
-    if not hot.isEmpty():
-        big = dealt.join(hot, ["t", "k"])
-        rest = dealt.join(hot, ["t", "k"], "left_anti")
-        dealt = rest.withColumn("unit", F.lit(-1).cast("long")).unionByName(_node_pairs(big, choices, budget))
-    else:
-        dealt = dealt.withColumn("unit", F.lit(-1).cast("long"))
-    where = F.struct("t", "k", "unit")
-    dealt = dealt.select(F.xxhash64(where).alias("g"), "fp").repartition("g").sortWithinPartitions("g")
-
+    # a unit is a pair of trie nodes, at first a subtrie with itself; side: 0 or 1 of the pair, or -1 for both
+    dealt = dealt.select("t", "k", "fp", F.lit(0).cast("long").alias("unit"), F.lit(-1).alias("side"), F.lit(0).alias("spent"))
+    done = []
+    for level in range(0, BITS - max(sum(w for _, w in cut) for cut in choices) - CUT, CUT):
+        hot = dealt.groupBy("t", "k", "unit").count().where(F.col("count") > group).select("t", "k", "unit")
+        hot = materialise(hot, "hot")
+        if hot.isEmpty():
+            break
+        done.append(dealt.join(hot, ["t", "k", "unit"], "left_anti").select(F.xxhash64("t", "k", "unit").alias("g"), "fp"))
+        # what is cut further is written, so that the next round counts and cuts a table, not this plan again
+        dealt = materialise(_node_pairs(dealt.join(hot, ["t", "k", "unit"]), choices, budget, level), "cut")
+    done.append(dealt.select(F.xxhash64("t", "k", "unit").alias("g"), "fp"))
+    dealt = functools.reduce(DataFrame.unionByName, done).repartition("g").sortWithinPartitions("g")
     return dealt.select("g", F.col("fp").alias("node"), "fp").mapInArrow(lambda batches: _links(batches, budget), "src long, dst long")
 
 
-def _node_pairs(big: DataFrame, choices, budget: int, bits: int = 6) -> DataFrame:
-    """Rows of large subtries with the pairs of child nodes (their next ``bits``
-    bits outside the shared blocks) that the budget allows."""
-    free = []  # the highest bits outside the blocks of each choice
-    for cut in choices:
+def _node_pairs(big: DataFrame, choices, budget: int, level: int) -> DataFrame:
+    """Rows of large units in the pairs of their nodes' children, told apart by
+    the CUT bits after the first ``level`` ones outside the shared blocks: a row
+    is in the pairs of its own child with each child of the other node that
+    differs in no more bits than the budget leaves after what the unit's nodes
+    have ``spent``."""
+    child = F.lit(0).cast("long")
+    for t, cut in enumerate(choices):
         fixed = {b for lo, w in cut for b in range(lo, lo + w)}
-        free.append([b for b in range(BITS - 1, -1, -1) if b not in fixed][:bits])
-    node = F.lit(0).cast("long")
-    for t, own in enumerate(free):
-        value = F.lit(0).cast("long")
-        for b in own:
-            value = F.shiftleft(value, 1).bitwiseOR(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)))
-        node = F.when(F.col("t") == t, value).otherwise(node)
-    masks = [m for m in range(1 << bits) if bin(m).count("1") <= budget]
-    other = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    out = big.withColumn("node", node).withColumn("flip", other)
-    mate = F.col("node").bitwiseXOR(F.col("flip"))
-    return out.select("t", "k", "fp", (F.least("node", mate) * (1 << bits) + F.greatest("node", mate)).alias("unit"))
+        own = F.lit(0).cast("long")
+        for b in [b for b in range(BITS - 1, -1, -1) if b not in fixed][level : level + CUT]:
+            own = F.shiftleft(own, 1).bitwiseOR(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)))
+        child = F.when(F.col("t") == t, own).otherwise(child)
+    flip = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(m.bit_count()).alias("n")) for m in range(1 << CUT)]))
+    out = big.withColumn("child", child).withColumn("flip", flip).where(F.col("spent") + F.col("flip.n") <= budget)
+    mate = F.col("child").bitwiseXOR(F.col("flip.m"))
+    within = F.when(mate == F.col("child"), -1).when(F.col("child") < mate, 0).otherwise(1)
+    side = F.when(F.col("side") == -1, within).otherwise(F.col("side"))
+    out = out.withColumn("mate", mate).withColumn("to", side)
+    left, right = F.when(F.col("to") == 1, F.col("mate")).otherwise(F.col("child")), F.when(F.col("to") == 1, F.col("child")).otherwise(F.col("mate"))
+    return out.select("t", "k", "fp", F.xxhash64("unit", left, right).alias("unit"), F.col("to").alias("side"), (F.col("spent") + F.col("flip.n")).alias("spent"))
 
 
 def _links(batches, budget: int, most: int | None = None, sure: int | None = None):
@@ -266,19 +275,20 @@ def _joined(batches, budget: int, most: int | None, sure: int | None = None, few
 
 def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id -
-    the smallest doc_id reachable over links of at most ``budget`` bits - and
-    text_key (xxhash64 of the text).
+    the smallest doc_id reachable over links of at most ``budget`` bits -,
+    text_key (xxhash64 of the text) and component (its own key).
 
     Null and empty texts have fingerprint zero and link like any other.
     Repeated rows and equal texts share a fingerprint and so a component. Null
     doc_ids get a row; they are never a component_id unless the component has
-    no other (then it is null). Other columns are not read; an empty table
-    gives an empty result."""
+    no other (then it is null). Whole texts are read, STEP shingles at a time.
+    Other columns, whatever their names, are not read; an empty table gives an
+    empty result."""
     fp = materialise(fingerprints(docs, width), "fingerprints")
     classes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = materialise(components(links(classes.select("fp"), budget)), "components")
     out = _by_component(fp.withColumn("node", F.col("fp")), classes.select(F.col("fp").alias("node"), "first"), found.withColumnRenamed("node", "of"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key", "component")
 
 
 # --- near copies by a similarity of shingle sets ---
@@ -369,7 +379,7 @@ def similar(docs: DataFrame, width: int = SIMILAR_WIDTH, most: int = WIDE_BUDGET
     classes = materialise(fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "classes")
     edges = materialise(wide_links(classes.select("node", "fp"), most).distinct(), "links")
     found = materialise(components(edges).withColumnRenamed("node", "of"), "components")
-    return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key")
+    return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key", "component")
 
 
 def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -427,7 +437,7 @@ def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) ->
     linked = 10 * both >= tenths * (F.size("src_set") + F.size("dst_set") - both)
     edges = materialise(pairs.join(left, "src").join(right, "dst").where(linked).select("src", "dst"), "links")
     found = materialise(components(edges).withColumnRenamed("node", "of"), "components")
-    return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key")
+    return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key", "component")
 
 
 def _samples(classes: DataFrame) -> DataFrame:
@@ -455,24 +465,35 @@ def _samples(classes: DataFrame) -> DataFrame:
 
 
 def _by_component(fp: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """``fp(node, ...)`` with component_id, the smallest ``first`` of the
-    ``classes(node, first)`` in a node's component by ``found(of, component)``."""
+    """``fp(node, ...)`` with component, a node for each component, and
+    component_id, the smallest ``first`` of the ``classes(node, first)`` in it by
+    ``found(of, component)``."""
     joined = classes.join(found, classes.node == found.of, "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     joined = materialise(joined, "joined")
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = materialise(joined.join(least, "component").select(F.col("node").alias("key"), "component_id"), "of")
+    of = materialise(joined.join(least, "component").select(F.col("node").alias("key"), "component", "component_id"), "of")
     # both sides are exchanged, so AQE splits the rows of a frequent fingerprint
     return fp.join(of, fp.node == of.key)
 
 
 def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one document of each component of ``found`` (by default
-    that of ``near_duplicates``; ``near_copies`` and ``similar`` give others): that with the smallest doc_id, one row of it if there
-    are several. Rows with a null doc_id go if their component has any doc_id,
-    and else all stay."""
-    found = materialise((near_duplicates(docs) if found is None else found).select("doc_id", "component_id", "text_key"), "near")
+    """``docs`` with one document of each component of ``found`` (by default that
+    of ``near_duplicates``; ``near_copies`` gives others): that with the smallest
+    doc_id, and of several rows with this id in one component any one. Rows with
+    a null doc_id go if their component has any doc_id, and else all stay. Rows
+    that share a doc_id but not a component are judged each by its own; null and
+    empty texts are a group like others. Other columns, whatever their names, are
+    kept as they are; an empty table stays empty."""
+    found = materialise((near_duplicates(docs) if found is None else found).select("doc_id", "component_id", "text_key", "component"), "near")
     out = without_rows(docs, found.where("doc_id <> component_id or (doc_id is null and component_id is not null)"))
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    # several rows of a component's first document are rare: only these are dealt out
+    first = found.where("doc_id = component_id")
+    many = first.groupBy("component").count().where("count > 1").select("component")
+    many = materialise(first.join(many, "component").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("component").alias("_c")).distinct(), "many")
+    if many.isEmpty():
+        return out
+    same = (out.doc_id == many._d) & (F.xxhash64(out.text) == many._k)
+    alone = out.join(many, same, "left_anti")
+    packed = out.select(F.struct("*").alias("row"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_t"))
+    one = packed.join(many, (packed._i == many._d) & (packed._t == many._k)).dropDuplicates(["_c"]).select("row.*")
+    return alone.unionByName(one)

@@ -217,6 +217,27 @@ def test_links_connect_what_pairs_connect(spark, group):
     assert all(got.get(int(k), int(k)) == int(keys[label[i]]) for i, k in enumerate(keys))
 
 
+def test_hot_subtries_are_cut_until_they_fit(spark, monkeypatch):
+    """All keys share two blocks: only cutting again and again makes units fit."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 42, 60, dtype=np.uint64)
+    keys = [b for b in base.tolist()]
+    for b in base.tolist():
+        for n in (1, 3, 4, 5):
+            keys.append(b ^ sum(1 << int(k) for k in rng.choice(42, n, replace=False)))
+    keys = np.unique(np.array(keys, dtype=np.uint64))
+    fps = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
+    cuts = []
+    pairs = simhash._node_pairs
+    monkeypatch.setattr(simhash, "_node_pairs", lambda *a: cuts.append(a[-1]) or pairs(*a))
+    got = {r.node: r.component for r in common.components(simhash.links(fps, group=20)).collect()}
+    label = components(np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 4)
+    assert len(cuts) >= 2
+    signed = keys.view(np.int64)
+    least = {i: min(int(signed[j]) for j in np.flatnonzero(label == label[i])) for i in range(len(keys))}
+    assert all(got.get(int(k), int(k)) == least[i] for i, k in enumerate(signed))
+
+
 def test_near_duplicates(spark, docs):
     rows = sorted(simhash.near_duplicates(docs).collect(), key=lambda r: r.doc_id)
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -302,6 +323,14 @@ def test_keep_first_in_odd_tables(spark):
     assert simhash.near_duplicates(nulls).first().component_id is None
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = "one two three four five six", "quite other words stand in this one"
+    table = spark.createDataFrame([(1, a), (1, a), (1, b), (1, b), (2, a), (3, b), (None, "again some more words for this")], "doc_id long, text string").withColumn("component", F.lit(1)).withColumn("_c", F.lit(1))
+    for found in (None, simhash.near_copies(table)):
+        kept = simhash.keep_first(table, found)
+        assert kept.columns == table.columns and sorted((str(r.doc_id), r.text[:3]) for r in kept.collect()) == [("1", "one"), ("1", "qui"), ("None", "aga")]
+
+
 def test_long_text_needs_no_long_list():
     text = " ".join(f"w{i % 977}" for i in range(200_000)).encode()
     whole, simhash.STEP = simhash.STEP, 1000
