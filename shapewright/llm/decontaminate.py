@@ -2,30 +2,36 @@
 
 Numbers, units and names become typed placeholders, so that a question with
 other numbers or names keeps its template. Windows of templates of documents
-and benchmark items are hash-joined; the windows of a document and an item on
-neighbouring diagonals are chained, and the values that fill the slots of a
-chain must map one to one (each value of the item to one value of the
-document)."""
+and benchmark items are hash-joined, and beside them the windows of the plain
+lower-case words, so that a copy is found whatever its numbers and names; the
+windows of a document and an item on neighbouring diagonals are chained, and the
+values that fill the slots of a chain must map one to one (each value of the
+item to one value of the document).
+
+An item is compared with a document only if they share one of its rarer windows:
+as many windows must match to cover an item, all but that many less one of the
+ones most frequent among the items are enough to find every match. So a phrase
+that many items begin with joins none of them with all documents that have it."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapewright.llm.common import each, materialise, without_rows
 
 #: Words in a window, and share of an item's words that matching windows must cover.
 WINDOW, COVER = 5, 0.8
-#: Words in an item at least: shorter ones are no evidence and match nothing.
+#: Words in an item at least to be looked for inside documents: a shorter one matches texts that are nothing else.
 LEAST_WORDS = 3
-#: Words of a window that aren't placeholders at least; a window with fewer is matched by the values of all its words.
+#: Words of a window that aren't placeholders at least, for its template to say anything; its plain words always do.
 LITERAL = 2
 #: Diagonals (place in the document less place in the item) put together: words may be added or lost.
 DRIFT = 16
-#: Bits of a window's hash in the broadcast table of benchmark windows: 512 KB, whatever the benchmark's size.
-TABLE_BITS = 22
+#: Bits of a window's hash in the broadcast table of benchmark windows: 1 MB, whatever the benchmark's size.
+TABLE_BITS = 23
 
 # Units of measure and currencies, number words, common given names.
 UNITS = """mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces ton tons
@@ -124,28 +130,25 @@ class Vocabulary(dict):
 
 
 def windows(code, slot, width: int, exact):
-    """Hashes of the windows of ``width`` words: of their templates or, where
-    these have too few literal words, of their values (``exact``)."""
+    """(hashes of the templates of the windows of ``width`` words, hashes of their
+    plain words, which of the first say anything: those with enough words)."""
     import numpy as np
 
     n = len(code) - width + 1
     if n < 1:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     free = np.zeros(n, dtype=np.int64)
     for k in range(width):
         free += slot[k : k + n]
 
-    def mixed(codes, where):
-        h = np.full(len(where), width, dtype=np.uint64)
+    def mixed(codes, seed):
+        h = np.full(n, seed, dtype=np.uint64)
         for k in range(width):
-            h = (h ^ codes[where + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return h
 
-    h = mixed(code, np.arange(n))
-    few = np.flatnonzero(free > width - min(LITERAL, width))
-    h[few] = mixed(exact, few)
-    return h
+    return mixed(code, width), mixed(exact, width + (1 << 20)), (free > 0) & (free <= width - min(LITERAL, width))
 
 
 def chained(found: list[dict], words: int) -> tuple[float, bool] | None:
@@ -182,8 +185,10 @@ def chained(found: list[dict], words: int) -> tuple[float, bool] | None:
 
 
 def _windows(table: DataFrame, id_col: str, widths, bits: bytes | None) -> DataFrame:
-    """(id, text_key, n, width, pos, h, slots) of all windows of ``widths``; with
-    ``bits`` only those whose hash is in the table of benchmark windows."""
+    """(id, text_key, n, width, pos, h, slots) of all windows of ``widths``, by
+    their templates (slots: what fills these) and by their plain words (slots:
+    all of them); with ``bits`` only those whose hash is in the table of
+    benchmark windows. Texts of fewer than LEAST_WORDS words are one window."""
 
     def run(batches):
         import numpy as np
@@ -195,23 +200,40 @@ def _windows(table: DataFrame, id_col: str, widths, bits: bytes | None) -> DataF
             row, n, width, pos, hashes, slots = [], [], [], [], [], []
             for i, text in enumerate(each(batch.column(2))):
                 code, slot, (at, words) = vocabulary.template(text) if text else (np.zeros(0, np.uint64), np.zeros(0, bool), ([], None))
-                if len(code) < LEAST_WORDS:
+                if not len(code):
                     continue
-                for w in widths if bits is not None else [min(WINDOW, len(code))]:
-                    h = windows(code, slot, w, np.frombuffer(words.exact, dtype=np.uint64)[at])
-                    fine = np.ones(len(h), dtype=bool)
-                    if table is not None:
-                        key = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-                        fine = (table[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool)
-                    for p in np.flatnonzero(fine).tolist():
-                        row.append(i), n.append(len(code)), width.append(w), pos.append(p), hashes.append(int(h[p]))
-                        slots.append([words.values[a] for a, s in zip(at[p : p + w].tolist(), slot[p : p + w]) if s])
+                if len(code) < LEAST_WORDS:
+                    own = [len(code)] if widths is None or len(code) in widths else []
+                else:
+                    own = [min(WINDOW, len(code))] if widths is None else [w for w in widths if w >= LEAST_WORDS]
+                for w in own:
+                    template, plain, says = windows(code, slot, w, np.frombuffer(words.exact, dtype=np.uint64)[at])
+                    for h, fine, whole in ((template, says, False), (plain, np.ones(len(plain), dtype=bool), True)):
+                        if table is not None:
+                            key = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                            fine = fine & (table[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool)
+                        for p in np.flatnonzero(fine).tolist():
+                            row.append(i), n.append(len(code)), width.append(w), pos.append(p), hashes.append(int(h[p]))
+                            slots.append([words.values[a] for a, s in zip(at[p : p + w].tolist(), slot[p : p + w]) if whole or s])
             h = pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))
             index = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *(pa.array(x, pa.int32()) for x in (n, width, pos)), h, pa.array(slots, pa.list_(pa.string()))], names=["id", "text_key", "n", "width", "pos", "h", "slots"])
 
     out = f"id {dict(table.dtypes)[id_col]}, text_key long, n int, width int, pos int, h long, slots array<string>"
-    return table.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, out)
+    made = table.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, out)
+    return made.withColumn("key", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), "text_key"))
+
+
+def _rare(items: DataFrame) -> DataFrame:
+    """(item, h) of the windows of ``items`` without, of each item, the ones most
+    frequent among the items, one fewer than it takes to cover the item: a
+    document that covers it has at least one of those left."""
+    often = items.groupBy("h").agg(F.countDistinct("key").alias("often"))
+    at = items.join(often, "h").groupBy("key", "n", "width", "pos").agg(F.max("often").alias("often"))
+    order = Window.partitionBy("key").orderBy(F.desc("often"), "pos")  # an item's windows
+    needed = F.greatest(F.lit(1), F.ceil(F.round(COVER * F.col("n") / F.col("width"), 6)))
+    left = at.withColumn("place", F.row_number().over(order)).where(F.col("place") >= needed).select("key", "pos")
+    return left.join(items, ["key", "pos"]).select(F.col("key").alias("item"), "h").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -220,24 +242,30 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words in matching windows), reparameterised (some slot is filled otherwise)
     and text_key.
 
-    Null and empty texts match nothing, as do items of fewer than LEAST_WORDS
-    words. Null ids are kept as they are; repeated rows give one row. Either
-    table may be empty. Whole texts are searched."""
+    Null and empty texts, and those without a letter or digit, match nothing. An
+    item of fewer than LEAST_WORDS words matches only texts that are nothing
+    else. Null ids are kept as they are; repeated rows give one row. Other
+    columns, whatever their names, are not read; either table may be empty.
+    Whole texts are searched, however long: a text's windows are held at once,
+    those found among the benchmark's are all that goes on."""
     import numpy as np
 
     items = materialise(_windows(benchmark, "item_id", None, None).distinct(), "items")
-    widths = sorted(r.width for r in items.select("width").distinct().collect())
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # WINDOW at most
     keys = items.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).alias("k")).distinct().toArrow()["k"].to_numpy()  # 2^TABLE_BITS at most
     bits = np.zeros(1 << TABLE_BITS, dtype=np.uint8)
     bits[keys] = 1
     found = _windows(docs, "doc_id", widths, np.packbits(bits, bitorder="little").tobytes())
-    item = items.select(F.col("id").alias("item_id"), F.col("n").alias("words"), "width", F.col("pos").alias("at"), "h", F.col("slots").alias("theirs"))
-    doc = found.select(F.col("id").alias("doc_id"), "text_key", "width", "pos", "h", "slots")
-    pairs = doc.join(item, ["h", "width"])
+    # what the table let through by chance goes here; the rest is read twice, so it is written
+    found = materialise(found.join(items.select("h").distinct(), "h", "left_semi"), "found")
+    item = items.select(F.col("id").alias("item_id"), F.col("key").alias("item"), F.col("n").alias("words"), "width", F.col("pos").alias("at"), "h", F.col("slots").alias("theirs"))
+    doc = found.select(F.col("id").alias("doc_id"), "text_key", "key", "pos", "h", "slots")
+    asked = doc.join(_rare(items), "h").select("key", "item").distinct()
+    pairs = asked.join(item, "item").join(doc, ["key", "h"])
     diagonal = F.col("pos") - F.col("at")
     band = F.explode(F.array(F.floor(diagonal / DRIFT) * 2, F.floor((diagonal + DRIFT / 2) / DRIFT) * 2 + 1))
     pairs = pairs.withColumn("band", band)
-    # of a band at most DRIFT windows for each place in the item
+    # of a band at most DRIFT windows for each place in the item, by template and by words
     met = pairs.groupBy("doc_id", "text_key", "item_id", "words", "band").agg(F.collect_set(F.struct("at", "width", "pos", "theirs", "slots")).alias("found"))
     places = F.size(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["at"], x["at"] + x["width"] - 1)))))
     met = met.where(places / F.col("words") >= COVER).select("doc_id", "text_key", "item_id", "words", "found")

@@ -482,6 +482,79 @@ def test_items_of_numbers_are_found(spark):
     assert got == {(i, i + 1): (1.0, False) for i in range(4)}
 
 
+def brute_matches(texts, items):
+    """{(doc, item): (coverage, reparameterised)}: every window of every document
+    against every window of every item, compared word by word."""
+    v = decontaminate.Vocabulary()
+
+    def read(text):
+        code, slot, (at, words) = v.template(text or "")
+        return code.tolist(), slot.tolist(), [words.values[a] for a in at] if len(code) else []
+
+    out = {}
+    read_docs, read_items = {i: read(t) for i, t in texts.items()}, {i: read(t) for i, t in items.items()}
+    for j, (code, slot, own) in read_items.items():
+        n = len(own)
+        w = n if n < decontaminate.LEAST_WORDS else min(decontaminate.WINDOW, n)
+        for i, (dcode, dslot, theirs) in read_docs.items():
+            if not n or (n < decontaminate.LEAST_WORDS) != (len(theirs) < decontaminate.LEAST_WORDS) or (n < decontaminate.LEAST_WORDS and n != len(theirs)):
+                continue
+            bands = {}
+            for at in range(n - w + 1):
+                free = sum(slot[at : at + w])
+                for pos in range(len(theirs) - w + 1):
+                    hits = []
+                    if own[at : at + w] == theirs[pos : pos + w]:
+                        hits.append((own[at : at + w], theirs[pos : pos + w]))
+                    if 0 < free <= w - min(decontaminate.LITERAL, w) and code[at : at + w] == dcode[pos : pos + w]:
+                        hits.append(([x for x, s in zip(own[at : at + w], slot[at:]) if s], [x for x, s in zip(theirs[pos : pos + w], dslot[pos:]) if s]))
+                    for a, b in hits:
+                        d = pos - at
+                        for band in (d // decontaminate.DRIFT * 2, (d + decontaminate.DRIFT // 2) // decontaminate.DRIFT * 2 + 1):
+                            bands.setdefault(band, []).append(dict(at=at, pos=pos, width=w, theirs=a, slots=b))
+            best = [x for x in (decontaminate.chained(found, n) for found in bands.values()) if x]
+            if best:
+                out[i, j] = max(c for c, _ in best), min(o for _, o in best)
+    return out
+
+
+def test_matches_by_brute_force(spark, docs):
+    rng = random.Random(12)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    names, things = "Tom Anna Franz Sophie Paul Quentin Zoe".split(), "apples pears books km dollars red blue".split()
+    items = {r.item_id: r.text for r in bench[:20]}
+    for k in range(1000, 1040):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts += rng.choice([["Which", "of", "the", "following", "is"], [rng.choice(names), "has", str(rng.randrange(9)), rng.choice(things), "and"], [str(rng.randrange(9)), "+", str(rng.randrange(99)), "-", str(rng.randrange(9))], ["in", "1914", rng.choice(names), rng.choice(names)], ["how", "many", rng.choice(things), "are", "there?"]])
+        items[k] = " ".join(parts)
+    items |= {1040: "Which of the following", 1041: "7", 1042: "two words", 1043: "?!", 1044: None, 1045: ""}
+    texts = {r.doc_id: r.text for r in docs.limit(60).collect()}
+    held = {}
+    for k, item in enumerate(items.values()):
+        if item and any(c.isalnum() for c in item):
+            lead = "some words go here " * rng.randrange(4) if len(item.split()) > 2 else ""
+            texts[5000 + k], held[5000 + k] = lead + rng.choice([item, item.lower(), item.upper() if item.isascii() else item, item.replace(" ", "\n")]) + (" and on" if lead else ""), list(items)[k]
+            texts[6000 + k] = "".join(str(rng.randrange(99)) if c.isdigit() else c for c in item)
+            texts[7000 + k] = " ".join(w for w in item.split() if rng.random() < 0.9)
+    table = spark.createDataFrame([*texts.items(), (5000, texts[5000])], "doc_id long, text string")
+    rows = decontaminate.matches(table, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (round(r.coverage, 9), r.reparameterised) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {k: (round(c, 9), o) for k, (c, o) in brute_matches(texts, items).items()}
+    assert all(got.get((i, j), (0, True)) == (1.0, False) for i, j in held.items())
+
+
+def test_phrases_that_many_items_share_join_nothing(spark):
+    """The windows that candidates come from are an item's rarer ones."""
+    items = spark.createDataFrame([(i, f"Which of the following is the right answer to the item {chr(97 + i % 26)}{chr(97 + i // 26)}q about w{i} x{i} y{i} z{i}") for i in range(200)], "item_id long, text string")
+    made = decontaminate._windows(items, "item_id", None, None).distinct()
+    rare = decontaminate._rare(made)
+    often = rare.groupBy("h").count().where("count > 100").count()
+    assert often < made.groupBy("h").count().where("count > 100").count()
+    assert rare.select("item").distinct().count() == 200
+
+
 def test_clean_documents_stay(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda t: " ".join(t.lower().split())
