@@ -208,20 +208,37 @@ def _node_pairs(big: DataFrame, choices, budget: int, level: int) -> DataFrame:
     return out.select("t", "k", "fp", F.xxhash64("unit", left, right).alias("unit"), F.col("to").alias("side"), (F.col("spent") + F.col("flip.n")).alias("spent"))
 
 
-def _links(batches, budget: int, most: int | None = None, sure: int | None = None):
+def _links(batches, budget: int, most: int | None = None, forests: int | None = None):
     import numpy as np
     import pyarrow as pa
 
-    for src, dst in _joined(batches, budget, most, sure):
+    for src, dst in _joined(batches, budget, most, forests):
         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(src)), pa.array(np.asarray(dst))], names=["src", "dst"])
 
 
-def _joined(batches, budget: int, most: int | None, sure: int | None = None, few: int = 16):
+def _forest(n: int, i, j, d):
+    """Places of pairs that span what all pairs (i, j) of nodes 0..n-1 connect,
+    nearest first by their distances ``d``."""
+    import numpy as np
+
+    forest, taken = Forest(n), [np.zeros(0, dtype=np.int64)]
+    for level in np.unique(d):
+        at = np.flatnonzero(d == level)
+        while len(at := at[forest.root[i[at]] != forest.root[j[at]]]):
+            a, b = forest.root[i[at]], forest.root[j[at]]
+            _, first = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+            taken.append(at[first])
+            forest.join(i[at[first]], j[at[first]])
+    return np.concatenate(taken)
+
+
+def _joined(batches, budget: int, most: int | None, forests: int | None = None, few: int = 16):
     """Links within the runs of equal ``g`` of batches (g, node, fingerprint): of
     runs of up to ``few`` keys all of a batch at once, of longer ones a forest
     each. The first 64 bits are the trie key; with ``most`` the fingerprint is a
-    wide one, of which so many bits may differ in all. With ``sure`` a forest is
-    only that of links of so many bits; all others between its trees are given."""
+    wide one, of which so many bits may differ in all. With ``forests`` the links
+    of long runs are pairs as they are found: those of so many spanning forests,
+    each the nearest pairs among what the ones before it have left."""
     import numpy as np
 
     held = []
@@ -257,17 +274,26 @@ def _joined(batches, budget: int, most: int | None, sure: int | None = None, few
             yield nodes[i[fine]], nodes[j[fine]]
         for lo, hi in zip(starts[size > few], ends[size > few]):
             order = lo + np.argsort(keys[lo:hi], kind="stable")
+            if forests is not None:
+                parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16))]
+                for i, j in trie_pairs(keys[order], budget):
+                    for at in range(0, len(i), 1 << 18):
+                        x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                        d = popcount(words[order[x]] ^ words[order[y]]).sum(axis=1, dtype=np.int16)
+                        fine = d <= most
+                        parts.append((x[fine].astype(np.int32), y[fine].astype(np.int32), d[fine]))
+                i, j, d = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                for _ in range(forests):
+                    taken = _forest(len(order), i, j, d)
+                    yield nodes[order[i[taken]]], nodes[order[j[taken]]]
+                    i, j, d = (np.delete(x, taken) for x in (i, j, d))
+                continue
             forest = Forest(len(order))
-            for i, j in trie_pairs(keys[order], budget if sure is None else sure):
-                apart = forest.root[i] != forest.root[j]
-                i, j = i[apart], j[apart]
-                fine = near(words, order[i], order[j], most if sure is None else sure)
-                forest.join(i[fine], j[fine])
-            for i, j in trie_pairs(keys[order], budget) if sure is not None else ():
+            for i, j in trie_pairs(keys[order], budget):
                 apart = forest.root[i] != forest.root[j]
                 i, j = i[apart], j[apart]
                 fine = near(words, order[i], order[j])
-                yield nodes[order[i[fine]]], nodes[order[j[fine]]]
+                forest.join(i[fine], j[fine])
             at = np.flatnonzero(forest.root != np.arange(len(order)))
             if len(at):
                 yield nodes[order[forest.root[at]]], nodes[order[at]]
@@ -301,7 +327,7 @@ TRIE_BUDGET = 20
 #: Bytes that tell a table's subtries apart; a wide fingerprint has 64 / TABLE tables.
 TABLE = 2
 #: Wide fingerprints of a subtrie in one block, on average.
-WIDE_GROUP = 2048
+WIDE_GROUP = 1024
 
 
 def shingle_set(raw: bytes | None, width: int = SIMILAR_WIDTH):
@@ -352,7 +378,7 @@ def wide_links(classes: DataFrame, most: int = WIDE_BUDGET, group: int = WIDE_GR
     return _subtrie_links(classes.select("node", "fp", F.explode(keys).alias("g")), group, TRIE_BUDGET, most)
 
 
-def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, sure: int | None = None) -> DataFrame:
+def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, forests: int | None = None) -> DataFrame:
     """The links ``_joined`` finds within each ``g`` of ``dealt(node, fp, g)``;
     that of more than ``group`` rows is dealt into blocks, a task each pair."""
     hot = dealt.groupBy("g").count().where(F.col("count") > group)
@@ -364,7 +390,7 @@ def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, sure: i
         big = big.select("node", "fp", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
         dealt = dealt.join(hot, dealt.g == hot.h, "left_anti").unionByName(big)
     dealt = dealt.select("g", "node", "fp").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(lambda batches: _links(batches, budget, most, sure), "src long, dst long")
+    return dealt.mapInArrow(lambda batches: _links(batches, budget, most, forests), "src long, dst long")
 
 
 def similar(docs: DataFrame, width: int = SIMILAR_WIDTH, most: int = WIDE_BUDGET) -> DataFrame:
@@ -401,8 +427,9 @@ def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 #: most HEAD_BUDGET of the first HEAD bytes' bits (of them TRIE_BUDGET in the trie key). A pair of similarity 0.8
 #: differs in 15.2 % of the bits; by calculation 0.3 % of such pairs aren't candidates.
 SAMPLES, SAMPLE_BITS, HEAD, HEAD_BUDGET = 64, 14, 16, 36
-#: So few differing bits of the head's 128 that a pair below 0.8 has them once in 100,000 times: chains of such links do.
-HEAD_SURE = 4
+#: Spanning forests of the candidates in a long run, nearest pairs first, that are compared. A nearest pair across any
+#: cut joins what other pairs across it would; the further forests are for pairs whose nearness the bits misjudge.
+FORESTS = 2
 
 
 def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) -> DataFrame:
@@ -410,14 +437,16 @@ def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) ->
     over links of texts whose sets of ``width``-word shingles have a Jaccard
     similarity of ``tenths`` tenths or more - and text_key (xxhash64 of the text).
 
-    Wide fingerprints give the candidates (see SAMPLES), and each candidate's
-    shingle sets are compared exactly, so that no link is below the bound. Texts
+    Wide fingerprints give the candidates (see SAMPLES; in large groups FORESTS
+    spanning forests of them, so that candidates grow with the texts and not with
+    the pairs of a group), and each candidate's shingle sets are compared
+    exactly, so that no link is below the bound. Texts
     of equal fingerprints are one class. Null and repeated ids, other columns
     and empty tables are treated as ``near_duplicates`` does."""
     fp = _wide_fingerprints(docs, width)
     classes = fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.min("text_key").alias("k"))
     classes = materialise(classes, "classes")
-    pairs = _subtrie_links(_samples(classes), WIDE_GROUP, TRIE_BUDGET, HEAD_BUDGET, HEAD_SURE)
+    pairs = _subtrie_links(_samples(classes), WIDE_GROUP, TRIE_BUDGET, HEAD_BUDGET, FORESTS)
     pairs = materialise(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
     needed = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().join(classes.select("node", "k"), "node")
 

@@ -298,6 +298,29 @@ def test_pipeline_links_what_is_similar(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.tolist()))
 
 
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Chains and clouds of near copies are one component each, by far fewer
+    candidates than pairs."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        texts += [base] + [edited(rng, base, 2) for _ in range(150)]
+        chain = base
+        for _ in range(20):
+            chain = edited(rng, chain, 3)
+            texts.append(chain)
+    texts = [" ".join(x) for x in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = components(np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]))
+    made, real = [], simhash._subtrie_links
+    monkeypatch.setattr(simhash, "_subtrie_links", lambda *a: made.append(real(*a)) or made[-1])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label.tolist()
+    pairs = {(min(r), max(r)) for r in made[0].collect()}
+    assert len(pairs) < 40 * len(texts) < sum(np.bincount(label) ** 2) / 2
+
+
 def test_wide_blocks_keep_all_links(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 256, (3, 64), dtype=np.uint8)
