@@ -429,7 +429,7 @@ def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 SAMPLES, SAMPLE_BITS, HEAD, HEAD_BUDGET = 64, 14, 16, 36
 #: Spanning forests of the candidates in a long run, nearest pairs first, that are compared. A nearest pair across any
 #: cut joins what other pairs across it would; the further forests are for pairs whose nearness the bits misjudge.
-FORESTS = 2
+FORESTS = 4
 
 
 def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) -> DataFrame:
