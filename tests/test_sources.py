@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shapewright.operators import compare
-from shapewright.operators.model import Model
+from shapewright.operators.model import FEATURES, VARIATIONS, Model
 from shapewright.sources import documents, xmi
 
 
@@ -39,9 +39,9 @@ def test_graph_counts_sources_not_edges(spark):
 
 def test_xmi_round_trip(spark, tmp_path):
     types = spark.createDataFrame([(0, "A", True), (1, "B", False)], "entity_id int, name string, root boolean")
-    variations = spark.createDataFrame([("A", 1, 5, 0, 0, None), ("B", 1, 5, 0, 0, None)], xmi.VARIATIONS)
+    variations = spark.createDataFrame([("A", 1, 5, 0, 0, None), ("B", 1, 5, 0, 0, None)], VARIATIONS)
     rows = [("A", 1, 0, "Attribute", "_id", "Number", None, None, False, None, None, None), ("A", 1, 1, "Key", None, None, None, None, False, None, None, "_id"), ("A", 1, 2, "Aggregate", "b", None, 0, -1, True, [("B", 1)], None, None), ("A", 1, 3, "Attribute", "t", "PTuple<String,Number>", None, None, False, None, None, None), ("B", 1, 0, "Attribute", "a_id", "PList<>", None, None, False, None, None, None), ("B", 1, 1, "Reference", None, None, 0, -1, False, None, "A", "a_id")]
-    m = Model("m", types, variations, spark.createDataFrame(rows, xmi.FEATURES))
+    m = Model("m", types, variations, spark.createDataFrame([(*r, None, None) for r in rows], FEATURES))
     path = str(tmp_path / "new" / "m.xmi")
     xmi.write(m, path)
     back = xmi.read(spark, path)
