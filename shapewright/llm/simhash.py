@@ -213,15 +213,19 @@ def _links(batches, budget: int, most: int | None = None, forests: int | None =
     import pyarrow as pa
 
     for src, dst in _joined(batches, budget, most, forests):
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(src)), pa.array(np.asarray(dst))], names=["src", "dst"])
+        to = pa.nulls(len(src), pa.int64()) if dst is None else pa.array(np.asarray(dst))
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(src)), to], names=["src", "dst"])
 
 
-def _forest(n: int, i, j, d):
+def _forest(of, i, j, d):
     """Places of pairs that span what all pairs (i, j) of nodes 0..n-1 connect,
-    nearest first by their distances ``d``."""
+    nearest first by their distances ``d``; nodes of equal ``of`` are joined."""
     import numpy as np
 
+    _, first, which = np.unique(of, return_index=True, return_inverse=True)
+    n = len(of)
     forest, taken = Forest(n), [np.zeros(0, dtype=np.int64)]
+    forest.root = first[which]
     for level in np.unique(d):
         at = np.flatnonzero(d == level)
         while len(at := at[forest.root[i[at]] != forest.root[j[at]]]):
@@ -236,9 +240,11 @@ def _joined(batches, budget: int, most: int | None, forests: int | None = None,
     """Links within the runs of equal ``g`` of batches (g, node, fingerprint): of
     runs of up to ``few`` keys all of a batch at once, of longer ones a forest
     each. The first 64 bits are the trie key; with ``most`` the fingerprint is a
-    wide one, of which so many bits may differ in all. With ``forests`` the links
-    of long runs are pairs as they are found: those of so many spanning forests,
-    each the nearest pairs among what the ones before it have left."""
+    wide one, of which so many bits may differ in all. With ``forests`` a fourth
+    column has each node's component so far; the links are pairs across
+    components, as they are found: all of short runs, those of so many spanning
+    forests of long ones, each the nearest pairs among what the ones before it
+    have left. A run that has pairs left then gives (its g, None)."""
     import numpy as np
 
     held = []
@@ -254,29 +260,37 @@ def _joined(batches, budget: int, most: int | None, forests: int | None = None,
             g, nodes = (batch.column(i).to_numpy() for i in range(2))
             fp = batch.column(2).to_numpy().view(np.uint64) if most is None else np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u8")
             words = fp.reshape(len(g), fp.size // max(1, len(g)))
-            held.append((g, nodes, words))
+            held.append((g, nodes, words, nodes if forests is None else batch.column(3).to_numpy()))
             if held[-1][0].size == 0 or held[0][0][0] == held[-1][0][-1]:
                 held = [x for x in held if x[0].size]
                 continue
         if not held:
             continue
-        g, nodes, words = (np.concatenate([x[i] for x in held]) for i in range(3))
+        g, nodes, words, of = (np.concatenate([x[i] for x in held]) for i in range(4))
         keys = words[:, 0].copy()
         starts = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1))
         ends = np.concatenate((starts[1:], [len(g)]))
         if batch is not None:  # the last run may go on
-            held = [tuple(x[starts[-1] :] for x in (g, nodes, words))]
+            held = [tuple(x[starts[-1] :] for x in (g, nodes, words, of))]
             starts, ends = starts[:-1], ends[:-1]
         size = ends - starts
         some = (size > 1) & (size <= few)
         for i, j in _leaves(keys, starts[some], ends[some], starts[some], ends[some], budget):
+            if forests is not None:
+                apart = of[i] != of[j]
+                i, j = i[apart], j[apart]
             fine = near(words, i, j)
             yield nodes[i[fine]], nodes[j[fine]]
         for lo, hi in zip(starts[size > few], ends[size > few]):
             order = lo + np.argsort(keys[lo:hi], kind="stable")
             if forests is not None:
+                own = of[order]
+                if (own == own[0]).all():
+                    continue
                 parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16))]
                 for i, j in trie_pairs(keys[order], budget):
+                    apart = own[i] != own[j]
+                    i, j = i[apart], j[apart]
                     for at in range(0, len(i), 1 << 18):
                         x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
                         d = popcount(words[order[x]] ^ words[order[y]]).sum(axis=1, dtype=np.int16)
@@ -284,9 +298,13 @@ def _joined(batches, budget: int, most: int | None, forests: int | None = None,
                         parts.append((x[fine].astype(np.int32), y[fine].astype(np.int32), d[fine]))
                 i, j, d = (np.concatenate([p[k] for p in parts]) for k in range(3))
                 for _ in range(forests):
-                    taken = _forest(len(order), i, j, d)
+                    if not len(i):
+                        break
+                    taken = _forest(own, i, j, d)
                     yield nodes[order[i[taken]]], nodes[order[j[taken]]]
                     i, j, d = (np.delete(x, taken) for x in (i, j, d))
+                if len(i):
+                    yield g[lo : lo + 1], None
                 continue
             forest = Forest(len(order))
             for i, j in trie_pairs(keys[order], budget):
@@ -378,18 +396,22 @@ def wide_links(classes: DataFrame, most: int = WIDE_BUDGET, group: int = WIDE_GR
     return _subtrie_links(classes.select("node", "fp", F.explode(keys).alias("g")), group, TRIE_BUDGET, most)
 
 
-def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, forests: int | None = None) -> DataFrame:
-    """The links ``_joined`` finds within each ``g`` of ``dealt(node, fp, g)``;
-    that of more than ``group`` rows is dealt into blocks, a task each pair."""
+def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, forests: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The links ``_joined`` finds within each ``g`` of ``dealt(node, fp, g)``,
+    with ``forests`` also ``of``; that of more than ``group`` rows is dealt into
+    blocks, a task each pair. ``only(left)`` are the blocks to be read, if given."""
+    columns = ["node", "fp", *(["of"] if forests else [])]
     hot = dealt.groupBy("g").count().where(F.col("count") > group)
     hot = materialise(hot.select(F.col("g").alias("h"), F.ceil(F.col("count") / group).cast("int").alias("k")), "hot")
     if not hot.isEmpty():
         big = dealt.join(hot, dealt.g == hot.h)
         own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).cast("int")
         big = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        big = big.select("node", "fp", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+        big = big.select(*columns, F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
         dealt = dealt.join(hot, dealt.g == hot.h, "left_anti").unionByName(big)
-    dealt = dealt.select("g", "node", "fp").repartition("g").sortWithinPartitions("g")
+    if only is not None:
+        dealt = dealt.join(only, dealt.g == only.left, "left_semi")
+    dealt = dealt.select("g", *columns).repartition("g").sortWithinPartitions("g")
     return dealt.mapInArrow(lambda batches: _links(batches, budget, most, forests), "src long, dst long")
 
 
@@ -427,9 +449,9 @@ def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 #: most HEAD_BUDGET of the first HEAD bytes' bits (of them TRIE_BUDGET in the trie key). A pair of similarity 0.8
 #: differs in 15.2 % of the bits; by calculation 0.3 % of such pairs aren't candidates.
 SAMPLES, SAMPLE_BITS, HEAD, HEAD_BUDGET = 64, 14, 16, 36
-#: Spanning forests of the candidates in a long run, nearest pairs first, that are compared. A nearest pair across any
-#: cut joins what other pairs across it would; the further forests are for pairs whose nearness the bits misjudge.
-FORESTS = 4
+#: Samples of the first round, which joins most of the texts of dense groups, and by how much the spanning forests of
+#: a long run's candidates grow from round to round.
+EARLY, FORESTS = 8, 4
 
 
 def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) -> DataFrame:
@@ -437,17 +459,42 @@ def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) ->
     over links of texts whose sets of ``width``-word shingles have a Jaccard
     similarity of ``tenths`` tenths or more - and text_key (xxhash64 of the text).
 
-    Wide fingerprints give the candidates (see SAMPLES; in large groups FORESTS
-    spanning forests of them, so that candidates grow with the texts and not with
-    the pairs of a group), and each candidate's shingle sets are compared
-    exactly, so that no link is below the bound. Texts
-    of equal fingerprints are one class. Null and repeated ids, other columns
-    and empty tables are treated as ``near_duplicates`` does."""
+    Wide fingerprints give the candidates (see SAMPLES), and each candidate's
+    shingle sets are compared exactly, so that no link is below the bound. This
+    goes in rounds: the first takes one spanning forest of the candidates of
+    EARLY samples, the second FORESTS of all samples, further ones FORESTS times
+    as many of the runs that have any left, until none has. What a round links
+    is one node for the next, so that dense groups of copies cost candidates by
+    their texts and not by their pairs. Texts of equal fingerprints are one
+    class. Null and repeated ids, other columns and empty tables are treated as
+    ``near_duplicates`` does."""
     fp = _wide_fingerprints(docs, width)
     classes = fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.min("text_key").alias("k"))
     classes = materialise(classes, "classes")
-    pairs = _subtrie_links(_samples(classes), WIDE_GROUP, TRIE_BUDGET, HEAD_BUDGET, FORESTS)
-    pairs = materialise(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    now, forests, found, seen, only = classes.select("node", "fp", F.col("node").alias("of")), 1, None, None, None
+    while True:
+        got = _subtrie_links(_samples(now, EARLY if seen is None else SAMPLES), WIDE_GROUP, TRIE_BUDGET, HEAD_BUDGET, forests, only)
+        to = F.when(F.col("dst").isNotNull(), F.greatest("src", "dst"))  # null: src is a run with pairs left
+        got = materialise(got.select(F.least("src", "dst").alias("src"), to.alias("dst")).distinct(), "candidates")
+        pairs = got.where("dst is not null")
+        if seen is not None:
+            only = got.where("dst is null").select(F.col("src").alias("left"))
+            pairs = pairs.join(seen, ["src", "dst"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        edges = _compared(docs, classes, pairs, width, tenths)
+        if found is not None:
+            edges = edges.unionAll(found.select(F.col("of").alias("src"), F.col("component").alias("dst")))
+        found = materialise(components(edges).withColumnRenamed("node", "of"), "components")
+        if only is not None and only.isEmpty():
+            break
+        seen, forests = pairs if seen is None else seen.unionAll(pairs), forests * FORESTS
+        joined = classes.join(found, classes.node == found.of, "left")
+        now = materialise(joined.select("node", "fp", F.coalesce("component", "node").alias("of")), "round")
+    return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key", "component")
+
+
+def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, tenths: int) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose texts' shingle sets are similar enough."""
     needed = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().join(classes.select("node", "k"), "node")
 
     def run(batches):
@@ -464,33 +511,31 @@ def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) ->
     left, right = (sets.select(F.col("node").alias(side), F.col("own").alias(f"{side}_set")) for side in ("src", "dst"))
     both = F.size(F.array_intersect("src_set", "dst_set"))
     linked = 10 * both >= tenths * (F.size("src_set") + F.size("dst_set") - both)
-    edges = materialise(pairs.join(left, "src").join(right, "dst").where(linked).select("src", "dst"), "links")
-    found = materialise(components(edges).withColumnRenamed("node", "of"), "components")
-    return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key", "component")
+    return materialise(pairs.join(left, "src").join(right, "dst").where(linked).select("src", "dst"), "links")
 
 
-def _samples(classes: DataFrame) -> DataFrame:
-    """(node, fp: the head of the fingerprint, g: sample and its bits) of
-    ``classes(node, fp)``, a row for each sample."""
+def _samples(classes: DataFrame, samples: int) -> DataFrame:
+    """(node, fp: the head of the fingerprint, of, g: sample and its bits) of
+    ``classes(node, fp, of)``, a row for each of the first ``samples``."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         rng = np.random.default_rng(SEED)
-        picked = np.stack([rng.choice(BITS * WIDE, SAMPLE_BITS, replace=False) for _ in range(SAMPLES)])
+        picked = np.stack([rng.choice(BITS * WIDE, SAMPLE_BITS, replace=False) for _ in range(samples)])
         weights = 1 << np.arange(SAMPLE_BITS, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
-                g = bits[:, picked] @ weights + (np.arange(SAMPLES) << SAMPLE_BITS)
-                index = pa.array(np.repeat(np.arange(part.num_rows), SAMPLES))
+                g = bits[:, picked] @ weights + (np.arange(samples) << SAMPLE_BITS)
+                index = pa.array(np.repeat(np.arange(part.num_rows), samples))
                 heads = pa.array([x.tobytes() for x in raw[:, :HEAD]], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(index), heads.take(index), pa.array(g.ravel())], names=["node", "fp", "g"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), heads.take(index), part.column(2).take(index), pa.array(g.ravel())], names=["node", "fp", "of", "g"])
 
-    return classes.select("node", "fp").mapInArrow(run, "node long, fp binary, g long")
+    return classes.select("node", "fp", "of").mapInArrow(run, "node long, fp binary, of long, g long")
 
 
 def _by_component(fp: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
