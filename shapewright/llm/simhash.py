@@ -400,7 +400,7 @@ def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, forests
     """The links ``_joined`` finds within each ``g`` of ``dealt(node, fp, g)``,
     with ``forests`` also ``of``; that of more than ``group`` rows is dealt into
     blocks, a task each pair. ``only(left)`` are the blocks to be read, if given."""
-    columns = ["node", "fp", *(["of"] if forests else [])]
+    columns = ["node", "fp", *(["of"] if forests is not None else [])]
     hot = dealt.groupBy("g").count().where(F.col("count") > group)
     hot = materialise(hot.select(F.col("g").alias("h"), F.ceil(F.col("count") / group).cast("int").alias("k")), "hot")
     if not hot.isEmpty():
@@ -449,9 +449,10 @@ def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 #: most HEAD_BUDGET of the first HEAD bytes' bits (of them TRIE_BUDGET in the trie key). A pair of similarity 0.8
 #: differs in 15.2 % of the bits; by calculation 0.3 % of such pairs aren't candidates.
 SAMPLES, SAMPLE_BITS, HEAD, HEAD_BUDGET = 64, 14, 16, 36
-#: Samples of the first round, which joins most of the texts of dense groups, and by how much the spanning forests of
-#: a long run's candidates grow from round to round.
-EARLY, FORESTS = 8, 4
+#: Samples of the first round, which joins most of the texts of dense groups; bits of the whole fingerprint that a
+#: candidate of a long run may differ in (77.6 at a similarity of 0.8, and four times 8.1); by how much the spanning
+#: forests of such a run's candidates grow from round to round.
+EARLY, WHOLE_BUDGET, FORESTS = 8, 112, 4
 
 
 def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) -> DataFrame:
@@ -462,18 +463,20 @@ def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) ->
     Wide fingerprints give the candidates (see SAMPLES), and each candidate's
     shingle sets are compared exactly, so that no link is below the bound. This
     goes in rounds: the first takes one spanning forest of the candidates of
-    EARLY samples, the second FORESTS of all samples, further ones FORESTS times
-    as many of the runs that have any left, until none has. What a round links
-    is one node for the next, so that dense groups of copies cost candidates by
-    their texts and not by their pairs. Texts of equal fingerprints are one
+    EARLY samples, the second the candidates in short runs of all samples. Long
+    runs with candidates left are read again with whole fingerprints: FORESTS
+    spanning forests, then FORESTS times as many, until none has any left. What
+    a round links is one node for the next, so that dense groups of copies cost
+    candidates by their texts and not by their pairs. Texts of equal fingerprints are one
     class. Null and repeated ids, other columns and empty tables are treated as
     ``near_duplicates`` does."""
     fp = _wide_fingerprints(docs, width)
     classes = fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.min("text_key").alias("k"))
     classes = materialise(classes, "classes")
-    now, forests, found, seen, only = classes.select("node", "fp", F.col("node").alias("of")), 1, None, None, None
-    while True:
-        got = _subtrie_links(_samples(now, EARLY if seen is None else SAMPLES), WIDE_GROUP, TRIE_BUDGET, HEAD_BUDGET, forests, only)
+    now, found, seen, only = classes.select("node", "fp", F.col("node").alias("of")), None, None, None
+    for forests in itertools.chain([1, 0], (FORESTS**n for n in itertools.count(1))):
+        dealt = _samples(now, EARLY if seen is None else SAMPLES, HEAD if only is None else 8 * WIDE)
+        got = _subtrie_links(dealt, WIDE_GROUP, TRIE_BUDGET, HEAD_BUDGET if only is None else WHOLE_BUDGET, forests, only)
         to = F.when(F.col("dst").isNotNull(), F.greatest("src", "dst"))  # null: src is a run with pairs left
         got = materialise(got.select(F.least("src", "dst").alias("src"), to.alias("dst")).distinct(), "candidates")
         pairs = got.where("dst is not null")
@@ -487,7 +490,7 @@ def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) ->
         found = materialise(components(edges).withColumnRenamed("node", "of"), "components")
         if only is not None and only.isEmpty():
             break
-        seen, forests = pairs if seen is None else seen.unionAll(pairs), forests * FORESTS
+        seen = pairs if seen is None else seen.unionAll(pairs)
         joined = classes.join(found, classes.node == found.of, "left")
         now = materialise(joined.select("node", "fp", F.coalesce("component", "node").alias("of")), "round")
     return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key", "component")
@@ -514,8 +517,8 @@ def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return materialise(pairs.join(left, "src").join(right, "dst").where(linked).select("src", "dst"), "links")
 
 
-def _samples(classes: DataFrame, samples: int) -> DataFrame:
-    """(node, fp: the head of the fingerprint, of, g: sample and its bits) of
+def _samples(classes: DataFrame, samples: int, head: int) -> DataFrame:
+    """(node, fp: ``head`` bytes of the fingerprint, of, g: sample and its bits) of
     ``classes(node, fp, of)``, a row for each of the first ``samples``."""
 
     def run(batches):
@@ -532,7 +535,7 @@ def _samples(classes: DataFrame, samples: int) -> DataFrame:
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
                 g = bits[:, picked] @ weights + (np.arange(samples) << SAMPLE_BITS)
                 index = pa.array(np.repeat(np.arange(part.num_rows), samples))
-                heads = pa.array([x.tobytes() for x in raw[:, :HEAD]], pa.binary())
+                heads = pa.array([x.tobytes() for x in raw[:, :head]], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(index), heads.take(index), part.column(2).take(index), pa.array(g.ravel())], names=["node", "fp", "of", "g"])
 
     return classes.select("node", "fp", "of").mapInArrow(run, "node long, fp binary, of long, g long")
