@@ -149,8 +149,10 @@ def _supplier_variations(spark, sf_dir, *arrays) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     fields = [F.concat(F.lit(f',"t{i}":'), F.when(empty, "[]").otherwise('["s"]')) for i, empty in enumerate(arrays)]
     schema = F.concat(F.lit('{"_type":"s'), F.col("s_nationkey").cast("string"), F.lit('"'), *fields, F.lit("}"))
-    made = s.select(F.col("s_suppkey").alias("ord"), schema.alias("schema"), F.lit(1).cast("long").alias("count"), F.col("s_suppkey").alias("first_ts"), F.col("s_suppkey").alias("last_ts"))
-    return infer.merge(infer.collapse(infer.objects(made), "sum"))
+    at = F.when(F.col("s_suppkey") < 0, F.col("s_suppkey")).otherwise(F.col("s_suppkey") + 1)  # a time of zero is unknown, a key of zero is not
+    made = s.select(F.col("s_suppkey").alias("ord"), schema.alias("schema"), F.lit(1).cast("long").alias("count"), at.alias("first_ts"), at.alias("last_ts"))
+    key = lambda c: F.when(F.col(c) < 0, F.col(c)).otherwise(F.col(c) - 1)
+    return infer.merge(infer.collapse(infer.objects(made), "sum")).withColumns({c: key(c) for c in ("first_ts", "last_ts")})
 
 
 def merge_empty_arrays(spark, sf_dir):

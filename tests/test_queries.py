@@ -35,6 +35,19 @@ def test_query(spark, duck, name):
     assert norm(got.select(*columns).collect()) == norm(duck.sql(f"select {listed} from ({ORACLES[name]})").fetchall())
 
 
+def test_a_key_of_zero_is_a_time(spark, tmp_path):
+    """The first supplier's key is zero, and its variation is not the later one of its nation."""
+    c = duckdb.connect()
+    c.sql("create table supplier as select i::bigint s_suppkey, (i % 2)::int s_nationkey from (values (0), (2), (3), (5), (6), (9)) t(i)")
+    c.sql("insert into supplier values (7, 0)")
+    c.sql(f"copy supplier to '{tmp_path}/supplier.parquet'")
+    got = QUERIES["merge_empty_arrays"](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    listed = ", ".join(f'"{x}"' for x in columns)
+    want = norm(c.sql(f"select {listed} from ({ORACLES['merge_empty_arrays']})").fetchall())
+    assert norm(got.select(*columns).collect()) == want and len(want) == 2
+
+
 def test_entry(spark):
     import __spark_entry__
 
