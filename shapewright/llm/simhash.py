@@ -208,48 +208,29 @@ def _node_pairs(big: DataFrame, choices, budget: int, level: int) -> DataFrame:
     return out.select("t", "k", "fp", F.xxhash64("unit", left, right).alias("unit"), F.col("to").alias("side"), (F.col("spent") + F.col("flip.n")).alias("spent"))
 
 
-def _links(batches, budget: int, most: int | None = None, forests: int | None = None):
+def _links(batches, budget: int, most: int | None = None, spanning: bool = False):
     import numpy as np
     import pyarrow as pa
 
-    for src, dst in _joined(batches, budget, most, forests):
-        to = pa.nulls(len(src), pa.int64()) if dst is None else pa.array(np.asarray(dst))
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(src)), to], names=["src", "dst"])
+    for src, dst in _joined(batches, budget, most, spanning):
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(src)), pa.array(np.asarray(dst))], names=["src", "dst"])
 
 
-def _forest(of, i, j, d):
-    """Places of pairs that span what all pairs (i, j) of nodes 0..n-1 connect,
-    nearest first by their distances ``d``; nodes of equal ``of`` are joined."""
-    import numpy as np
-
-    _, first, which = np.unique(of, return_index=True, return_inverse=True)
-    n = len(of)
-    forest, taken = Forest(n), [np.zeros(0, dtype=np.int64)]
-    forest.root = first[which]
-    for level in np.unique(d):
-        at = np.flatnonzero(d == level)
-        while len(at := at[forest.root[i[at]] != forest.root[j[at]]]):
-            a, b = forest.root[i[at]], forest.root[j[at]]
-            _, first = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
-            taken.append(at[first])
-            forest.join(i[at[first]], j[at[first]])
-    return np.concatenate(taken)
-
-
-def _joined(batches, budget: int, most: int | None, forests: int | None = None, few: int = 16):
+def _joined(batches, budget: int, most: int | None, spanning: bool = False, few: int = 16):
     """Links within the runs of equal ``g`` of batches (g, node, fingerprint): of
     runs of up to ``few`` keys all of a batch at once, of longer ones a forest
-    each. The first 64 bits are the trie key; with ``most`` the fingerprint is a
-    wide one, of which so many bits may differ in all. With ``forests`` a fourth
-    column has each node's component so far; the links are pairs across
-    components, as they are found: all of short runs, those of so many spanning
-    forests of long ones, each the nearest pairs among what the ones before it
-    have left. A run that has pairs left then gives (its g, None)."""
+    each; with ``spanning`` a forest of all, whose nodes may have several keys. The
+    first 64 bits are the trie key; with ``most`` the fingerprint is a wide one,
+    of which so many bits may differ in all."""
     import numpy as np
 
     held = []
 
-    def near(words, i, j, most=most, step: int = 1 << 18):
+    def stars(nodes, root):
+        at = np.flatnonzero(nodes != nodes[root])
+        return np.unique(np.stack([nodes[root[at]], nodes[at]]), axis=1)
+
+    def near(words, i, j, step: int = 1 << 18):
         if most is None:
             return np.ones(len(i), dtype=bool)
         parts = [popcount(words[i[at : at + step]] ^ words[j[at : at + step]]).sum(axis=1) <= most for at in range(0, len(i), step)]
@@ -259,59 +240,41 @@ def _joined(batches, budget: int, most: int | None, forests: int | None = None,
         if batch is not None:
             g, nodes = (batch.column(i).to_numpy() for i in range(2))
             fp = batch.column(2).to_numpy().view(np.uint64) if most is None else np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u8")
-            words = fp.reshape(len(g), fp.size // max(1, len(g)))
-            held.append((g, nodes, words, nodes if forests is None else batch.column(3).to_numpy()))
+            held.append((g, nodes, fp.reshape(len(g), fp.size // max(1, len(g)))))
             if held[-1][0].size == 0 or held[0][0][0] == held[-1][0][-1]:
                 held = [x for x in held if x[0].size]
                 continue
         if not held:
             continue
-        g, nodes, words, of = (np.concatenate([x[i] for x in held]) for i in range(4))
+        g, nodes, words = (np.concatenate([x[i] for x in held]) for i in range(3))
         keys = words[:, 0].copy()
         starts = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1))
         ends = np.concatenate((starts[1:], [len(g)]))
         if batch is not None:  # the last run may go on
-            held = [tuple(x[starts[-1] :] for x in (g, nodes, words, of))]
+            held = [tuple(x[starts[-1] :] for x in (g, nodes, words))]
             starts, ends = starts[:-1], ends[:-1]
         size = ends - starts
         some = (size > 1) & (size <= few)
+        forest = Forest(len(g)) if spanning else None
         for i, j in _leaves(keys, starts[some], ends[some], starts[some], ends[some], budget):
-            if forests is not None:
-                apart = of[i] != of[j]
-                i, j = i[apart], j[apart]
             fine = near(words, i, j)
-            yield nodes[i[fine]], nodes[j[fine]]
+            if forest is None:
+                yield nodes[i[fine]], nodes[j[fine]]
+            else:
+                forest.join(i[fine], j[fine])
+        if forest is not None:
+            yield stars(nodes, forest.root)
         for lo, hi in zip(starts[size > few], ends[size > few]):
             order = lo + np.argsort(keys[lo:hi], kind="stable")
-            if forests is not None:
-                own = of[order]
-                if (own == own[0]).all():
-                    continue
-                parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16))]
-                for i, j in trie_pairs(keys[order], budget):
-                    apart = own[i] != own[j]
-                    i, j = i[apart], j[apart]
-                    for at in range(0, len(i), 1 << 18):
-                        x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-                        d = popcount(words[order[x]] ^ words[order[y]]).sum(axis=1, dtype=np.int16)
-                        fine = d <= most
-                        parts.append((x[fine].astype(np.int32), y[fine].astype(np.int32), d[fine]))
-                i, j, d = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                for _ in range(forests):
-                    if not len(i):
-                        break
-                    taken = _forest(own, i, j, d)
-                    yield nodes[order[i[taken]]], nodes[order[j[taken]]]
-                    i, j, d = (np.delete(x, taken) for x in (i, j, d))
-                if len(i):
-                    yield g[lo : lo + 1], None
-                continue
             forest = Forest(len(order))
             for i, j in trie_pairs(keys[order], budget):
                 apart = forest.root[i] != forest.root[j]
                 i, j = i[apart], j[apart]
                 fine = near(words, order[i], order[j])
                 forest.join(i[fine], j[fine])
+            if spanning:
+                yield stars(nodes[order], forest.root)
+                continue
             at = np.flatnonzero(forest.root != np.arange(len(order)))
             if len(at):
                 yield nodes[order[forest.root[at]]], nodes[order[at]]
@@ -396,23 +359,21 @@ def wide_links(classes: DataFrame, most: int = WIDE_BUDGET, group: int = WIDE_GR
     return _subtrie_links(classes.select("node", "fp", F.explode(keys).alias("g")), group, TRIE_BUDGET, most)
 
 
-def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, forests: int | None = None, only: DataFrame | None = None) -> DataFrame:
-    """The links ``_joined`` finds within each ``g`` of ``dealt(node, fp, g)``,
-    with ``forests`` also ``of``; that of more than ``group`` rows is dealt into
-    blocks, a task each pair. ``only(left)`` are the blocks to be read, if given."""
-    columns = ["node", "fp", *(["of"] if forests is not None else [])]
-    hot = dealt.groupBy("g").count().where(F.col("count") > group)
-    hot = materialise(hot.select(F.col("g").alias("h"), F.ceil(F.col("count") / group).cast("int").alias("k")), "hot")
+def _subtrie_links(dealt: DataFrame, group: int, budget: int, most: int, spanning: bool = False, counted: DataFrame | None = None) -> DataFrame:
+    """The links ``_joined`` finds within each ``g`` of ``dealt(node, fp, g)``;
+    that of more than ``group`` rows is dealt into blocks, a task each pair. With
+    ``counted(g)`` the rows of a ``g`` are told by these of one row in SHARE."""
+    n = F.col("count") * (1 if counted is None else SHARE)
+    hot = (dealt if counted is None else counted).groupBy("g").count().where(n > group)
+    hot = materialise(hot.select(F.col("g").alias("h"), F.ceil(n / group).cast("int").alias("k")), "hot")
     if not hot.isEmpty():
         big = dealt.join(hot, dealt.g == hot.h)
-        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).cast("int")
+        own = F.pmod(F.xxhash64("node", "fp"), F.col("k")).cast("int")
         big = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        big = big.select(*columns, F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+        big = big.select("node", "fp", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
         dealt = dealt.join(hot, dealt.g == hot.h, "left_anti").unionByName(big)
-    if only is not None:
-        dealt = dealt.join(only, dealt.g == only.left, "left_semi")
-    dealt = dealt.select("g", *columns).repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(lambda batches: _links(batches, budget, most, forests), "src long, dst long")
+    dealt = dealt.select("g", "node", "fp").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(lambda batches: _links(batches, budget, most, spanning), "src long, dst long")
 
 
 def similar(docs: DataFrame, width: int = SIMILAR_WIDTH, most: int = WIDE_BUDGET) -> DataFrame:
@@ -431,17 +392,19 @@ def similar(docs: DataFrame, width: int = SIMILAR_WIDTH, most: int = WIDE_BUDGET
 
 
 def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, fp, node): wide fingerprints and their hashes."""
+    """(doc_id, text_key, size, fp, node): bytes of the texts, wide fingerprints and
+    their hashes."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp = [wide_fingerprint(t, width) for t in each(batch.column(2).cast(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp, pa.binary())], names=["doc_id", "text_key", "fp"])
+            fp = [wide_fingerprint(t, width) for t in each(batch.column(3).cast(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.binary())], names=["doc_id", "text_key", "size", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    fp = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp binary")
+    fp = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    fp = fp.mapInArrow(run, f"doc_id {kind}, text_key long, size long, fp binary")
     return materialise(fp.withColumn("node", F.xxhash64("fp")), "fingerprints")
 
 
@@ -449,10 +412,12 @@ def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 #: most HEAD_BUDGET of the first HEAD bytes' bits (of them TRIE_BUDGET in the trie key). A pair of similarity 0.8
 #: differs in 15.2 % of the bits; by calculation 0.3 % of such pairs aren't candidates.
 SAMPLES, SAMPLE_BITS, HEAD, HEAD_BUDGET = 64, 14, 16, 36
-#: Samples of the first round, which joins most of the texts of dense groups; bits of the whole fingerprint that a
-#: candidate of a long run may differ in (77.6 at a similarity of 0.8, and four times 8.1); by how much the spanning
-#: forests of such a run's candidates grow from round to round.
-EARLY, WHOLE_BUDGET, FORESTS = 8, 112, 4
+#: Samples of the first pass: what they connect is one node for the others.
+EARLY = 8
+#: One text in SHARE tells which samples' runs are too long for a task.
+SHARE = 16
+#: Texts, and bytes of them, that are compared in one task, on average; texts that each block of a larger group has.
+COMPARED, COMPARED_BYTES, PIVOTS = 1024, 16 << 20, 32
 
 
 def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) -> DataFrame:
@@ -460,85 +425,164 @@ def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) ->
     over links of texts whose sets of ``width``-word shingles have a Jaccard
     similarity of ``tenths`` tenths or more - and text_key (xxhash64 of the text).
 
-    Wide fingerprints give the candidates (see SAMPLES), and each candidate's
-    shingle sets are compared exactly, so that no link is below the bound. This
-    goes in rounds: the first takes one spanning forest of the candidates of
-    EARLY samples, the second the candidates in short runs of all samples. Long
-    runs with candidates left are read again with whole fingerprints: FORESTS
-    spanning forests, then FORESTS times as many, until none has any left. What
-    a round links is one node for the next, so that dense groups of copies cost
-    candidates by their texts and not by their pairs. Texts of equal fingerprints are one
-    class. Null and repeated ids, other columns and empty tables are treated as
-    ``near_duplicates`` does."""
+    Wide fingerprints give the candidates (see SAMPLES), of which a spanning
+    forest a run is kept, first of EARLY samples and then, between what these
+    connect, of the others: texts that candidates connect are a group. Within each
+    group shingle sets are compared exactly, so that no link is below the bound;
+    what is connected already isn't compared again, and only links that connect
+    come out. Texts of equal fingerprints are one class. Null and repeated ids,
+    other columns and empty tables are treated as ``near_duplicates`` does."""
     fp = _wide_fingerprints(docs, width)
-    classes = fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.min("text_key").alias("k"))
-    classes = materialise(classes, "classes")
-    now, found, seen, only = classes.select("node", "fp", F.col("node").alias("of")), None, None, None
-    for forests in itertools.chain([1, 0], (FORESTS**n for n in itertools.count(1))):
-        dealt = _samples(now, EARLY if seen is None else SAMPLES, HEAD if only is None else 8 * WIDE)
-        got = _subtrie_links(dealt, WIDE_GROUP, TRIE_BUDGET, HEAD_BUDGET if only is None else WHOLE_BUDGET, forests, only)
-        to = F.when(F.col("dst").isNotNull(), F.greatest("src", "dst"))  # null: src is a run with pairs left
-        got = materialise(got.select(F.least("src", "dst").alias("src"), to.alias("dst")).distinct(), "candidates")
-        pairs = got.where("dst is not null")
-        if seen is not None:
-            only = got.where("dst is null").select(F.col("src").alias("left"))
-            pairs = pairs.join(seen, ["src", "dst"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        edges = _compared(docs, classes, pairs, width, tenths)
+    classes = fp.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.min(F.struct("text_key", "size")).alias("t"))
+    classes = materialise(classes.select("node", "first", "fp", F.col("t.text_key").alias("k"), F.col("t.size").alias("size")), "classes")
+    now, found = classes.select("node", "fp", (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SHARE)) == 0).alias("counts")), None
+    for early in (True, False):
+        some = range(EARLY) if early else range(EARLY, SAMPLES)
+        counted = _samples(now.where("counts"), some, HEAD).select("g")
+        pairs = _subtrie_links(_samples(now, some, HEAD), GROUP, TRIE_BUDGET, HEAD_BUDGET, True, counted)
+        pairs = materialise(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "candidates")
         if found is not None:
-            edges = edges.unionAll(found.select(F.col("of").alias("src"), F.col("component").alias("dst")))
-        found = materialise(components(edges).withColumnRenamed("node", "of"), "components")
-        if only is not None and only.isEmpty():
-            break
-        seen = pairs if seen is None else seen.unionAll(pairs)
-        joined = classes.join(found, classes.node == found.of, "left")
-        now = materialise(joined.select("node", "fp", F.coalesce("component", "node").alias("of")), "round")
-    return _by_component(fp, classes.select("node", "first"), found).select("doc_id", "component_id", "text_key", "component")
-
-
-def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, tenths: int) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose texts' shingle sets are similar enough."""
-    needed = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().join(classes.select("node", "k"), "node")
+            pairs = pairs.unionAll(found.select(F.col("of").alias("src"), F.col("component").alias("dst")))
+        found = materialise(components(pairs).withColumnRenamed("node", "of"), "components")
+        if early:
+            now = now.join(found, now.node == found.of, "left").select(F.coalesce("component", "node").alias("node"), "fp", "counts")
+            now = materialise(now, "now")
+    found = _compared(docs, classes, found.withColumnRenamed("of", "node"), width, tenths)
+    return _by_component(fp, classes.select("node", "first"), found.withColumnRenamed("node", "of")).select("doc_id", "component_id", "text_key", "component")
+
+
+def _compared(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int, tenths: int) -> DataFrame:
+    """(node, component) of the nodes that have a text similar enough in their
+    group of ``groups(node, component)``.
+
+    A group is compared in one task. A larger one is dealt into blocks that share
+    about PIVOTS of its texts, which joins dense groups in one pass; then the
+    texts outside the largest component - a block of them a task - are compared
+    with each block of the whole group."""
+    members = materialise(groups.withColumnRenamed("component", "of").join(classes.select("node", "k", "size"), "node"), "members")
+    texts = docs.select(F.xxhash64("text").alias("k"), "text").join(members.select("k"), "k", "left_semi").dropDuplicates(["k"])
+    blocks = lambda n: F.greatest(F.ceil(n / COMPARED), F.ceil(F.sum("size") / COMPARED_BYTES)).cast("int")
+    many = members.groupBy("of").agg(F.count("*").alias("n"), blocks(F.count("*")).alias("b")).where("b > 1")
+    many = materialise(many, "many")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("b")).cast("int")
+    columns = ["k", "node", "of", "query"]
+    if many.isEmpty():
+        dealt = members.select(F.col("of").alias("g"), "k", "node", F.col("node").alias("of"), F.lit(True).alias("query"))
+        return components(_similar(texts, dealt, width, tenths, "links"))
+    big = materialise(members.join(many, "of").withColumn("own", own), "big")
+    pivot = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")) < PIVOTS
+    first = big.withColumn("at", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("b") - 1)).otherwise(F.array("own"))))
+    first = first.select(F.xxhash64("of", "at").alias("g"), "k", "node").unionByName(members.join(many, "of", "left_anti").select(F.col("of").alias("g"), "k", "node"))
+    edges = _similar(texts, first.select("g", "k", "node", F.col("node").alias("of"), F.lit(True).alias("query")), width, tenths, "links")
+    found = components(edges)
+    now = big.join(found, "node", "left").withColumn("now", F.coalesce("component", "node")).drop("component")
+    now = materialise(now, "now")
+    most = now.groupBy("of", "now").agg(F.count("*").alias("m")).groupBy("of").agg(F.max_by("now", F.struct("m", "now")).alias("most"))
+    rest = now.join(most, "of").where("now <> most")
+    parts = materialise(rest.groupBy("of").agg(blocks(F.count("*")).alias("r")), "parts")
+    if parts.isEmpty():
+        return found
+    queries = rest.join(parts, "of").withColumn("part", F.pmod(F.xxhash64("node", F.lit(4)), F.col("r")).cast("int"))
+    queries = queries.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumn("query", F.lit(True))
+    others = now.join(parts, "of").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("at", F.col("own")).withColumn("query", F.lit(False))
+    both = queries.select(F.xxhash64("of", "part", "at").alias("g"), "k", "node", F.col("now").alias("of"), "query")
+    both = both.unionByName(others.select(F.xxhash64("of", "part", "at").alias("g"), "k", "node", F.col("now").alias("of"), "query"))
+    more = _similar(texts, both.select("g", *columns), width, tenths, "more")
+    return components(more.unionAll(found.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+
+
+def _similar(texts: DataFrame, dealt: DataFrame, width: int, tenths: int, name: str) -> DataFrame:
+    """Links (src, dst) that connect what is similar enough within each ``g`` of
+    ``dealt(g, k, node, of, query)``: a query and any row, of different ``of``."""
+    kind = "src long, dst long"
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), each(batch.column(1).cast(pa.binary()))):
-                own = pa.array([shingle_set(text, width).view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([k]), own], names=["k", "own"])
-
-    texts = docs.select(F.xxhash64("text").alias("k"), "text").join(needed.select("k"), "k", "left_semi").dropDuplicates(["k"])
-    sets = materialise(texts.mapInArrow(run, "k long, own array<long>").join(needed, "k").select("node", "own"), "sets")
-    left, right = (sets.select(F.col("node").alias(side), F.col("own").alias(f"{side}_set")) for side in ("src", "dst"))
-    both = F.size(F.array_intersect("src_set", "dst_set"))
-    linked = 10 * both >= tenths * (F.size("src_set") + F.size("dst_set") - both)
-    return materialise(pairs.join(left, "src").join(right, "dst").where(linked).select("src", "dst"), "links")
-
+        def links(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([x[side] for x in pairs], pa.int64()) for side in (0, 1)], names=["src", "dst"])
+
+        now, out = None, []
+        for batch in itertools.chain(batches, [None]):
+            rows = [(None, None, None, None, None)]  # after the last
+            if batch is not None:
+                rows = zip(*(batch.column(i).to_pylist() for i in range(4)), each(batch.column(4).cast(pa.binary())))
+            for g, node, of, query, text in rows:
+                if now is not None and now[0] != g:
+                    out += [(now[1][i], now[1][j]) for i, j in similar_pairs(now[4], now[2], now[3], tenths)]
+                    if len(out) > 4096 or batch is None:
+                        yield links(out)
+                        out = []
+                if batch is not None and (now is None or now[0] != g):
+                    now = g, [], [], [], []
+                if batch is not None:
+                    for to, x in zip(now[1:], (node, of, query, shingle_set(text, width))):
+                        to.append(x)
+
+    rows = dealt.join(texts, "k").select("g", "node", "of", "query", "text").repartition("g").sortWithinPartitions("g")
+    return materialise(rows.mapInArrow(run, kind).distinct(), name)
+
+
+def similar_pairs(sets, of, query, tenths: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of ``sets`` (sorted distinct hashes) that connect what pairs of
+    a Jaccard similarity of ``tenths`` tenths or more connect, if i or j is a
+    ``query``; sets of equal ``of`` are connected already. Only sets whose sizes
+    allow it, and that no pair before has connected, are compared."""
+    import numpy as np
 
-def _samples(classes: DataFrame, samples: int, head: int) -> DataFrame:
-    """(node, fp: ``head`` bytes of the fingerprint, of, g: sample and its bits) of
-    ``classes(node, fp, of)``, a row for each of the first ``samples``."""
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
+    n, size = len(order), size[order]
+    if n < 2:
+        return []
+    label = np.unique(np.asarray(of)[order], return_inverse=True)[1]
+    asks = np.asarray(query)[order]
+    words, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    mark = np.zeros(len(words), dtype=np.uint8)
+    out = []
+    for a in np.flatnonzero(asks):
+        lo, hi = np.searchsorted(10 * size, tenths * size[a], "left"), np.searchsorted(tenths * size, 10 * size[a], "right")
+        to = lo + np.flatnonzero((label[lo:hi] != label[a]) & ~(asks[lo:hi] & (np.arange(lo, hi) < a)))
+        if not len(to):
+            continue
+        mark[flat[starts[a] : ends[a]]] = 1
+        begin = np.cumsum(size[to]) - size[to]
+        at = np.arange(begin[-1] + size[to[-1]]) + np.repeat(starts[to] - begin, size[to])
+        both = np.add.reduceat(mark[flat[at]], begin, dtype=np.int64)
+        mark[flat[starts[a] : ends[a]]] = 0
+        to = to[10 * both >= tenths * (size[a] + size[to] - both)]
+        if len(to):
+            joined, first = np.unique(label[to], return_index=True)
+            out += [(int(order[a]), int(order[x])) for x in to[first]]
+            label[np.isin(label, joined)] = label[a]
+    return out
+
+
+def _samples(classes: DataFrame, samples: range, head: int) -> DataFrame:
+    """(node, fp: ``head`` bytes of the fingerprint, g: sample and its bits) of
+    ``classes(node, fp)``, a row for each of ``samples``."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         rng = np.random.default_rng(SEED)
-        picked = np.stack([rng.choice(BITS * WIDE, SAMPLE_BITS, replace=False) for _ in range(samples)])
+        picked = np.stack([rng.choice(BITS * WIDE, SAMPLE_BITS, replace=False) for _ in range(SAMPLES)])[list(samples)]
         weights = 1 << np.arange(SAMPLE_BITS, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
-                g = bits[:, picked] @ weights + (np.arange(samples) << SAMPLE_BITS)
-                index = pa.array(np.repeat(np.arange(part.num_rows), samples))
+                g = bits[:, picked] @ weights + (np.array(samples) << SAMPLE_BITS)
+                index = pa.array(np.repeat(np.arange(part.num_rows), len(samples)))
                 heads = pa.array([x.tobytes() for x in raw[:, :head]], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(index), heads.take(index), part.column(2).take(index), pa.array(g.ravel())], names=["node", "fp", "of", "g"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), heads.take(index), pa.array(g.ravel())], names=["node", "fp", "g"])
 
-    return classes.select("node", "fp", "of").mapInArrow(run, "node long, fp binary, of long, g long")
+    return classes.select("node", "fp").mapInArrow(run, "node long, fp binary, g long")
 
 
 def _by_component(fp: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:

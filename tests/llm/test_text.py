@@ -321,6 +321,63 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert len(pairs) < 60 * len(texts) < sum(np.bincount(label) ** 2) / 2
 
 
+def loose_cloud(rng, n, far):
+    """Texts ``far`` words from one base, which are candidates but mostly no near
+    copies of each other; every tenth is a near copy of the one before."""
+    base, texts = [f"w{rng.randrange(9000)}" for _ in range(200)], []
+    for k in range(n):
+        texts.append(edited(rng, texts[-1], 2) if k % 10 == 9 else list(base))
+        for at in range(0, 0 if k % 10 == 9 else 200, 200 // far):
+            texts[-1][at + rng.randrange(200 // far)] = f"new{rng.randrange(10**6)}"
+    return [" ".join(x) for x in texts]
+
+
+def by_brute_force(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    return components(np.array([[10 * len(a & b) >= 8 * len(a | b) for b in sets] for a in sets]))
+
+
+def test_candidates_that_are_no_copies_make_few_rows(spark, monkeypatch):
+    texts = loose_cloud(random.Random(11), 400, 5)
+    label = by_brute_force(texts)
+    assert len(set(label.tolist())) > 100
+    rows, real = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: (made := real(df, name), rows.append((name, made.count())))[0])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label.tolist()
+    assert max(rows, key=lambda x: x[1])[1] < 20 * len(texts), rows
+
+
+@pytest.mark.parametrize("far", [2, 4])
+def test_groups_too_large_for_a_task(spark, monkeypatch, far):
+    texts = loose_cloud(random.Random(12), 150, far) + loose_cloud(random.Random(13), 5, far)
+    label = by_brute_force(texts)
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    for name, most in (("COMPARED", 16), ("COMPARED_BYTES", 20_000)):
+        with monkeypatch.context() as m:
+            m.setattr(simhash, name, most)
+            m.setattr(simhash, "PIVOTS", 4)
+            got = {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()}
+        assert [got[i] for i in range(len(texts))] == label.tolist()
+
+
+def test_similar_pairs_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 30, 90):
+        base = rng.integers(0, 1 << 62, (3, 60)).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[k % 3][: rng.integers(40, 60)], rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64)])) for k in range(n)]
+        sets[1:2] = [np.zeros(0, np.uint64)] * len(sets[1:2])
+        of, query = rng.integers(0, n + 1, n), rng.random(n) < 0.5
+        own = [set(x.tolist()) for x in sets]
+        joined = np.array([[of[i] == of[j] or bool(own[i] and own[j] and (query[i] or query[j]) and 10 * len(own[i] & own[j]) >= 8 * len(own[i] | own[j])) for j in range(n)] for i in range(n)]).reshape(n, n)
+        pairs = simhash.similar_pairs(sets, of.tolist(), query.tolist(), 8)
+        assert all(joined[i, j] and of[i] != of[j] for i, j in pairs) and len(pairs) < max(1, n)
+        found = np.array([[of[i] == of[j] for j in range(n)] for i in range(n)]).reshape(n, n)
+        for i, j in pairs:
+            found[i, j] = found[j, i] = True
+        assert components(found).tolist() == components(joined).tolist()
+
+
 def test_wide_blocks_keep_all_links(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 256, (3, 64), dtype=np.uint8)
