@@ -410,14 +410,17 @@ def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 #: Candidates for the exact comparison: texts that agree in one of SAMPLES samples of SAMPLE_BITS bits and differ in at
 #: most HEAD_BUDGET of the first HEAD bytes' bits (of them TRIE_BUDGET in the trie key). A pair of similarity 0.8
-#: differs in 15.2 % of the bits; by calculation 0.3 % of such pairs aren't candidates.
-SAMPLES, SAMPLE_BITS, HEAD, HEAD_BUDGET = 64, 14, 16, 36
+#: differs in 15.2 % of the bits; by calculation 0.4 % of such pairs aren't candidates. Of pairs that share nothing one
+#: in 10^11 is within HEAD_BUDGET (of 36 of 128 bits: one in 2.5 million, which at 10^7 texts chains them all together).
+SAMPLES, SAMPLE_BITS, HEAD, HEAD_BUDGET = 64, 14, 24, 50
 #: Samples of the first pass: what they connect is one node for the others.
 EARLY = 8
 #: One text in SHARE tells which samples' runs are too long for a task.
 SHARE = 16
 #: Texts, and bytes of them, that are compared in one task, on average; texts that each block of a larger group has.
 COMPARED, COMPARED_BYTES, PIVOTS = 1024, 16 << 20, 32
+#: Bits of a text's hash that pick its word of 64 bits in the table of texts to be compared: 2 MB, whatever their number.
+FILTER_BITS = 18
 
 
 def near_copies(docs: DataFrame, width: int = SIMILAR_WIDTH, tenths: int = 8) -> DataFrame:
@@ -460,7 +463,6 @@ def _compared(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int
     texts outside the largest component - a block of them a task - are compared
     with each block of the whole group."""
     members = materialise(groups.withColumnRenamed("component", "of").join(classes.select("node", "k", "size"), "node"), "members")
-    texts = docs.select(F.xxhash64("text").alias("k"), "text").join(members.select("k"), "k", "left_semi").dropDuplicates(["k"])
     blocks = lambda n: F.greatest(F.ceil(n / COMPARED), F.ceil(F.sum("size") / COMPARED_BYTES)).cast("int")
     many = members.groupBy("of").agg(F.count("*").alias("n"), blocks(F.count("*")).alias("b")).where("b > 1")
     many = materialise(many, "many")
@@ -468,12 +470,12 @@ def _compared(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int
     columns = ["k", "node", "of", "query"]
     if many.isEmpty():
         dealt = members.select(F.col("of").alias("g"), "k", "node", F.col("node").alias("of"), F.lit(True).alias("query"))
-        return components(_similar(texts, dealt, width, tenths, "links"))
+        return components(_similar(docs, dealt, width, tenths, "links"))
     big = materialise(members.join(many, "of").withColumn("own", own), "big")
     pivot = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")) < PIVOTS
     first = big.withColumn("at", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("b") - 1)).otherwise(F.array("own"))))
     first = first.select(F.xxhash64("of", "at").alias("g"), "k", "node").unionByName(members.join(many, "of", "left_anti").select(F.col("of").alias("g"), "k", "node"))
-    edges = _similar(texts, first.select("g", "k", "node", F.col("node").alias("of"), F.lit(True).alias("query")), width, tenths, "links")
+    edges = _similar(docs, first.select("g", "k", "node", F.col("node").alias("of"), F.lit(True).alias("query")), width, tenths, "links")
     found = components(edges)
     now = big.join(found, "node", "left").withColumn("now", F.coalesce("component", "node")).drop("component")
     now = materialise(now, "now")
@@ -487,11 +489,21 @@ def _compared(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int
     others = now.join(parts, "of").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("at", F.col("own")).withColumn("query", F.lit(False))
     both = queries.select(F.xxhash64("of", "part", "at").alias("g"), "k", "node", F.col("now").alias("of"), "query")
     both = both.unionByName(others.select(F.xxhash64("of", "part", "at").alias("g"), "k", "node", F.col("now").alias("of"), "query"))
-    more = _similar(texts, both.select("g", *columns), width, tenths, "more")
+    more = _similar(docs, both.select("g", *columns), width, tenths, "more")
     return components(more.unionAll(found.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
 
-def _similar(texts: DataFrame, dealt: DataFrame, width: int, tenths: int, name: str) -> DataFrame:
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, text) once for each text whose hash is in ``keys(k)``, and for others by
+    chance: a broadcast table of the keys' bits tells which texts are shuffled."""
+    bit = f"cast(shiftrightunsigned(k, {58 - FILTER_BITS}) & 63 as int)"
+    table = keys.groupBy(F.shiftrightunsigned("k", 64 - FILTER_BITS).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))
+    texts = docs.select(F.xxhash64("text").alias("k"), "text")
+    held = (F.shiftrightunsigned("k", 64 - FILTER_BITS) == F.col("word")) & F.expr(f"shiftrightunsigned(bits, {bit}) & 1 = 1")
+    return texts.join(F.broadcast(table), held, "left_semi").dropDuplicates(["k"])
+
+
+def _similar(docs: DataFrame, dealt: DataFrame, width: int, tenths: int, name: str) -> DataFrame:
     """Links (src, dst) that connect what is similar enough within each ``g`` of
     ``dealt(g, k, node, of, query)``: a query and any row, of different ``of``."""
     kind = "src long, dst long"
@@ -519,7 +531,7 @@ def _similar(texts: DataFrame, dealt: DataFrame, width: int, tenths: int, name:
                     for to, x in zip(now[1:], (node, of, query, shingle_set(text, width))):
                         to.append(x)
 
-    rows = dealt.join(texts, "k").select("g", "node", "of", "query", "text").repartition("g").sortWithinPartitions("g")
+    rows = dealt.join(_texts(docs, dealt.select("k")), "k").select("g", "node", "of", "query", "text").repartition("g").sortWithinPartitions("g")
     return materialise(rows.mapInArrow(run, kind).distinct(), name)
 
 

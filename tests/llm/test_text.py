@@ -361,6 +361,50 @@ def test_groups_too_large_for_a_task(spark, monkeypatch, far):
         assert [got[i] for i in range(len(texts))] == label.tolist()
 
 
+def shuffled(spark):
+    """Bytes of shuffle that each stage so far has written."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    rng = random.Random(14)
+    texts = [" ".join(f"{rng.randrange(10**9)}" for _ in range(2000)) for _ in range(200)]
+    texts += [" ".join(edited(rng, texts[0].split(), 2))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table of candidates that is too large
+    try:
+        before = shuffled(spark)
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(table).collect()}
+        after = shuffled(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {i: i % 200 for i in range(201)}
+    assert sum(n for k, n in after.items() if k not in before) < sum(map(len, texts)) / 4
+
+
+def test_heads_tell_what_is_not_similar(spark):
+    """Fingerprints that agree in a sample and are near in 128 bits, but not in
+    192, are no candidates; those of similar texts are."""
+    rng = np.random.default_rng(15)
+    rows = []
+    for k in range(60):
+        own = rng.integers(0, 2, 512, dtype=np.uint8)
+        differ = np.zeros(512, dtype=np.uint8)
+        if k < 30:
+            differ[rng.choice(512, 78, replace=False)] = 1
+        else:
+            differ[[*rng.choice(64, 12, replace=False), *64 + rng.choice(64, 12, replace=False), *192 + rng.choice(320, 60, replace=False)]] = 1
+            differ[128:192] = [1, 0] * 32
+        rows += [(2 * k + side, np.packbits(own ^ (side * differ), bitorder="little").tobytes()) for side in (0, 1)]
+    dealt = simhash._samples(spark.createDataFrame(rows, "node long, fp binary"), range(simhash.SAMPLES), simhash.HEAD)
+    links = simhash._subtrie_links(dealt, simhash.GROUP, simhash.TRIE_BUDGET, simhash.HEAD_BUDGET, True)
+    pairs = {(min(r), max(r)) for r in links.collect()}
+    assert pairs <= {(2 * k, 2 * k + 1) for k in range(30)} and len(pairs) >= 29
+
+
 def test_similar_pairs_connect_what_all_pairs_connect():
     rng = np.random.default_rng(6)
     for n in (0, 1, 2, 30, 90):
